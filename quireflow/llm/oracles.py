@@ -25,3 +25,57 @@ LEFT JOIN links ON links.a = c.class_id LEFT JOIN comp ON comp.node = c.class_id
 """
 
 ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": _OP4}
+
+_KEY = f"translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}')"
+
+_OP3 = f"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM s),
+k AS (SELECT doc_id, i, line, {_KEY} AS k FROM x),
+f AS (SELECT k, max(doc_id) AS winner FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, i, line, f.k IS NOT NULL AND k.doc_id <> winner AS lost FROM k LEFT JOIN f ON k.k = f.k)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def _op7() -> str:
+    from quireflow.llm.quality import SIGNALS, Risk
+
+    risk, n = Risk(), len(SIGNALS)
+    grid = ", ".join(f"('{s}', {r}, CAST({float(c)} AS DOUBLE))" for s, cs in SIGNALS.items() for r, c in enumerate(cs))
+    value = "CASE signal " + " ".join(f"WHEN '{s}' THEN {s}" for s in SIGNALS) + " END"
+    share = risk.max_rate / n
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, w[i:i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM d WHERE n > 1) GROUP BY doc_id),
+m AS MATERIALIZED (SELECT w.doc_id, coalesce(lang, '') AS stratum, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(length(t) - length(regexp_replace(t, '[^\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+  len(l) AS n_lines, length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+v AS MATERIALIZED (SELECT *, n_words < {risk.min_words} OR 100 * n_repeat_words > {risk.repeat_percent} * n_words AS base_failed,
+  n_symbols / greatest(word_chars, 1) AS symbol_rate, n_upper / greatest(word_chars, 1) AS upper_rate, n_repeat_words / greatest(n_words, 1) AS repeat_rate,
+  n_dup_lines / greatest(n_lines, 1) AS dup_line_rate, n_marks / greatest(n_words, 1) AS mark_rate FROM m),
+grid(signal, rank, cutoff) AS (VALUES {grid}),
+known AS (SELECT v.*, q.quality, left(md5(CAST(v.doc_id AS VARCHAR)), 1) < '8' AS holdout FROM v JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1)) q ON q.doc_id = v.doc_id WHERE NOT base_failed),
+cells AS (SELECT stratum, signal, rank, cutoff, count(*) FILTER (quality = 1 AND holdout AND o) AS k, count(*) FILTER (quality = 1 AND holdout) AS n,
+  count(*) FILTER (quality = 1 AND NOT holdout AND o) AS fg, count(*) FILTER (quality = 1 AND NOT holdout) AS fgn,
+  count(*) FILTER (quality = 0 AND NOT holdout AND o) AS fb, count(*) FILTER (quality = 0 AND NOT holdout) AS fbn
+  FROM (SELECT *, {value} > cutoff AS o FROM known, grid) GROUP BY ALL),
+tested AS (SELECT *, k <= {share} * n AND list_sum(list_transform(range(0, CAST(least(k, {share} * n) AS BIGINT) + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))) <= {risk.error} / {n} / (SELECT count(DISTINCT stratum) FROM cells) AS passes FROM cells),
+seq AS (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, signal ORDER BY rank) AS open FROM tested),
+lim AS (SELECT stratum, signal, min(cutoff) AS cutoff FROM seq WHERE open AND fb * greatest(fgn, 1) > fg * greatest(fbn, 1) GROUP BY 1, 2),
+bad AS (SELECT DISTINCT v.doc_id FROM v JOIN lim USING (stratum) WHERE {value} > cutoff)
+SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM v LEFT JOIN bad ON bad.doc_id = v.doc_id
+"""
+
+
+ORACLES |= {"op3_line_dedup": _OP3, "op7_quality_rules": _op7()}
