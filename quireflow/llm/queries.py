@@ -10,6 +10,11 @@ from quireflow.llm.common import table
 from quireflow.llm.line_dedup import line_dedup
 from quireflow.llm.ngram_join import ngram_jaccard_join
 from quireflow.llm.quality import quality_rules
+from quireflow.llm.substring_dedup import duplicate_spans
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_spans(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +30,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
