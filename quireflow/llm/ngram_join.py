@@ -27,7 +27,10 @@ from quireflow.llm.pairs import group_pairs, local_labels, set_intersections
 
 @dataclass(frozen=True)
 class Forest:
-    """Parameters. ``slack`` standard deviations of a signature's estimate are allowed below the threshold."""
+    """Parameters. ``slack`` standard deviations of a signature's estimate are allowed below the threshold.
+
+    ``block`` members with their sets, ``signature_block`` with their signatures, meet as one side of a block pair.
+    """
 
     threshold: float = 0.8
     trees: int = 16
@@ -35,6 +38,7 @@ class Forest:
     target_recall: float = 0.9985
     slack: float = 4.0
     block: int = 128
+    signature_block: int = 1024
 
     @property
     def hashes(self) -> int:
@@ -77,7 +81,7 @@ def _candidates(tries: DataFrame, classes: DataFrame, forest: Forest, length: in
     """Spanning links (a, b) of the candidates under prefixes of this length, and audit rows (a null, bin, n)."""
     at = tries.select("node", F.xxhash64("tree", F.substring("prefix", 1, 4 * length)).alias("bucket"))
     crowded = at.groupBy("bucket").agg(F.count("*").alias("bucket_n")).where("bucket_n > 1").select("bucket")
-    dealt = block_pairs(at.join(crowded, "bucket"), "bucket", "node", forest.block)
+    dealt = block_pairs(at.join(crowded, "bucket"), "bucket", "node", forest.signature_block)
     rows = dealt.join(classes.select("node", "sig"), "node")
     order = ["bucket", "pair_i", "pair_j"]
     rows = rows.repartition(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order, "node")
