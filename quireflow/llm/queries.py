@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quireflow.llm.chat import chat_format
 from quireflow.llm.common import table
+from quireflow.llm.html_text import html_text
 from quireflow.llm.language_id import language_id
 from quireflow.llm.line_dedup import line_dedup
 from quireflow.llm.ngram_join import ngram_jaccard_join
@@ -39,6 +41,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(packing_items(table(spark, sf_dir, "documents")))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
@@ -46,4 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_html_extraction": op10_html_extraction,
 }
