@@ -79,3 +79,16 @@ FROM v LEFT JOIN bad ON bad.doc_id = v.doc_id
 
 
 ORACLES |= {"op3_line_dedup": _OP3, "op7_quality_rules": _op7()}
+
+_OP2 = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9),
+reach AS (SELECT a AS node, b AS other FROM l UNION SELECT reach.node, l.b FROM reach JOIN l ON l.a = reach.other),
+comp AS (SELECT node, min(least(node, other)) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN comp ON comp.node = vec_id
+"""
+
+ORACLES |= {"op2_embedding_near_dedup": _OP2}

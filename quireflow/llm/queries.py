@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quireflow.llm.chat import chat_format
 from quireflow.llm.common import table
@@ -13,14 +14,24 @@ from quireflow.llm.language_id import language_id
 from quireflow.llm.line_dedup import line_dedup
 from quireflow.llm.ngram_join import ngram_jaccard_join
 from quireflow.llm.packing import best_fit_packing, packing_items
+from quireflow.llm.pieces import Vocabulary, sample_pieces
 from quireflow.llm.quality import quality_rules
 from quireflow.llm.substring_dedup import duplicate_spans
 
+from quireflow.llm.vectors import vector_near_dedup
+
+#: The vocabulary of the token query; read by the driver alone.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_spans(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,6 +40,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
+    """The samples' sizes and a hash of their ids, in place of the ids."""
+    sampled = sample_pieces(table(spark, sf_dir, "documents"), Vocabulary.load(vocabulary))
+    return sampled.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -51,8 +68,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_sampled_pieces": op5_sampled_pieces,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
