@@ -42,8 +42,8 @@ class Risk:
     repeat_percent: int = 50
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """The base measures and signal values of every row, beside doc_id and lang.
+def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """The base measures and signal values of every row, beside doc_id and lang, and with ``whole`` the row as struct ``row``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text, none for a null text.
     n_repeat_words counts the words in three-word windows that occur twice or
@@ -51,8 +51,9 @@ def measures(docs: DataFrame) -> DataFrame:
     that collide by 64-bit hashes of the three words.
     """
     text = F.coalesce("text", F.lit(""))
-    m = docs.select("doc_id", "lang", text.alias("t"))
-    m = m.select("doc_id", "lang", "t", F.filter(F.split("t", WHITE_CHAR + "+", -1), lambda w: w != "").alias("w"))
+    row = ["row"] if whole else []
+    m = docs.select(*([F.struct("*").alias("row")] if whole else []), "doc_id", "lang", text.alias("t"))
+    m = m.select(*row, "doc_id", "lang", "t", F.filter(F.split("t", WHITE_CHAR + "+", -1), lambda w: w != "").alias("w"))
     windows = F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
 
     def window_hash(i: Column) -> Column:
@@ -71,6 +72,7 @@ def measures(docs: DataFrame) -> DataFrame:
     m = m.withColumn("n_repeat_words", F.when(F.size("suspects") > 0, covered).otherwise(0).cast("long")).withColumn("lines", lines)
     length = F.char_length("t")
     m = m.select(
+        *row,
         "doc_id",
         "lang",
         F.size("w").cast("long").alias("n_words"),
@@ -84,7 +86,8 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     words, chars, rows = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1)), F.greatest("n_lines", F.lit(1))
     rates = {"symbol_rate": F.col("n_symbols") / chars, "upper_rate": F.col("n_upper") / chars, "repeat_rate": F.col("n_repeat_words") / words, "dup_line_rate": F.col("n_dup_lines") / rows, "mark_rate": F.col("n_marks") / words}
-    return m.withColumns(rates)
+    # a filter on these columns must not be pushed below them: it would evaluate them again, word by word
+    return m.withColumns(rates | ({"barrier": F.monotonically_increasing_id()} if whole else {}))
 
 
 def base_failed(risk: Risk) -> Column:
@@ -137,6 +140,27 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk) -> Dat
     return tested.where((F.col("open") == 1) & helps).groupBy("stratum", "signal").agg(F.min("cutoff").alias("cutoff"))
 
 
+#: Strata up to which the cutoffs are broadcast; beyond, they are joined by stratum.
+FEW_STRATA = 10_000
+
+
+def cutoff_table(docs: DataFrame, labels: DataFrame, risk: Risk, measured: DataFrame | None = None) -> DataFrame:
+    """(stratum, max_<signal>...): the certified cutoffs, one row a stratum, stored."""
+    m = store(measures(docs.select("doc_id", "text", "lang"))) if measured is None else measured
+    limits = certified_cutoffs(m, labels.select("doc_id", "quality"), risk)
+    return store(limits.groupBy("stratum").agg(*(F.min(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"max_{s}") for s in SIGNALS)))
+
+
+def judged(measured: DataFrame, limits: DataFrame, risk: Risk) -> DataFrame:
+    """``measured`` with base_failed and kept."""
+    few = limits.limit(FEW_STRATA + 1).count() <= FEW_STRATA
+    wide = measured.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(F.broadcast(limits) if few else limits, "stratum", "left")
+    over = F.lit(False)
+    for s in SIGNALS:
+        over = over | F.coalesce(F.col(s) > F.col(f"max_{s}"), F.lit(False))
+    return wide.withColumn("base_failed", base_failed(risk)).withColumn("kept", ~F.col("base_failed") & ~over)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row.
 
@@ -147,10 +171,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
     empty table gives an empty result.
     """
     m = store(measures(docs.select("doc_id", "text", "lang")))
-    limits = certified_cutoffs(m, labels.select("doc_id", "quality"), risk)
-    wide = limits.groupBy("stratum").agg(*(F.min(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"max_{s}") for s in SIGNALS))
-    judged = m.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(wide, "stratum", "left").withColumn("base_failed", base_failed(risk))
-    over = F.lit(False)
-    for s in SIGNALS:
-        over = over | F.coalesce(F.col(s) > F.col(f"max_{s}"), F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    out = judged(m, cutoff_table(docs, labels, risk, m), risk)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns; texts are read twice and never shuffled."""
+    limits = cutoff_table(docs, labels, risk)
+    return judged(measures(docs, whole=True), limits, risk).where("kept and barrier >= 0").select("row.*")

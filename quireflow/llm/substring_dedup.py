@@ -164,7 +164,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     Texts without a span stay byte for byte; other columns are kept as they are.
     """
-    lists = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").cast("int"), F.col("end_word").cast("int")))).alias("r"))
+    lists = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").cast("int").alias("start_word"), F.col("end_word").cast("int").alias("end_word")))).alias("r"))
     lists = lists.select(F.col("doc_id").alias("sp_id"), F.col("text_hash").alias("sp_hash"), F.transform("r", lambda x: x["start_word"]).alias("sp_from"), F.transform("r", lambda x: x["end_word"]).alias("sp_to"))
     joined = docs.join(lists, (docs["doc_id"].cast("long") == F.col("sp_id")) & (F.hash(docs["text"]) == F.col("sp_hash")), "left").drop("sp_id", "sp_hash")
     names = docs.columns
