@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import shuffle_partitions, whole_groups
+from quireflow.llm.common import shuffle_partitions, store, whole_groups
 
 #: Elements without text of their own, elements that are never article text, elements that end a block; fixed values of HTML.
 RAW = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "textarea", "title", "head", "xmp", "noframes", "noembed"}
@@ -53,6 +53,9 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADER = re.compile(r"header", re.I)
 _SPACE = re.compile(r"\s+")
 
+#: Hosts of several shards up to which their table is broadcast; beyond, it is joined.
+MANY_HOSTS = 100_000
+
 #: Kinds of blocks.
 NOISE, PLAIN, ARTICLE = 0, 1, 2
 
@@ -279,7 +282,9 @@ def html_text(pages: DataFrame, b: Boilerplate = Boilerplate()) -> DataFrame:
     spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     mine = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    sizes = mine.groupBy("host").agg(F.ceil(F.count("*") / b.shard_pages).cast("int").alias("shards"))
+    # hosts of more than one shard; few enough are broadcast, so that page texts are dealt only once
+    sizes = store(mine.groupBy("host").agg(F.ceil(F.count("*") / b.shard_pages).cast("int").alias("shards")).where("shards > 1"))
+    few = sizes.limit(MANY_HOSTS + 1).count() <= MANY_HOSTS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +295,7 @@ def html_text(pages: DataFrame, b: Boilerplate = Boilerplate()) -> DataFrame:
 
     id_kind = pages.schema["page_id"].dataType.simpleString()
     parted = mine.mapInArrow(cut, f"page_id {id_kind}, url string, host string, kinds binary, text string")
-    dealt = parted.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
+    dealt = parted.join(F.broadcast(sizes) if few else sizes, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))))
     order = ["host", "shard"]
     rows = dealt.repartition(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "page_id").select("page_id", "url", "host", "shard", "kinds", "text")
 

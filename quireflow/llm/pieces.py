@@ -34,8 +34,8 @@ _BAR = 0x2581
 #: Stands for a U+2581 of the text itself, which is spelled in bytes.
 _LITERAL = 0x110000
 _BITS = 18
-#: A process keeps the lattices of up to so many units between runs of texts, then starts anew.
-_UNITS = 150_000
+#: A process keeps the lattices of up to so many units between runs of texts, then only the half used most.
+_UNITS = 240_000
 _CHUNK = 1 << 20
 
 
@@ -94,7 +94,8 @@ class Lattice:
                 slot = (slot + 1) & ((1 << _BITS) - 1)
             self.keys[slot], self.ids[slot] = h, i
 
-        self.seen, self.base, self.edges = np.zeros(0, np.uint64), np.zeros(0, np.int64), Edges.none()
+        self.seen, self.edges = np.zeros(0, np.uint64), Edges.none()
+        self.base, self.sizes, self.used = (np.zeros(0, np.int64) for _ in range(3))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece ids by hash, -1 where there is none."""
@@ -111,7 +112,7 @@ class Lattice:
     def units(self, h: np.ndarray, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[Edges, np.ndarray]:
         """Edges that include those of the units (distinct hashes), and each one's first position there."""
         if len(self.seen) > _UNITS:
-            self.seen, self.base, self.edges = np.zeros(0, np.uint64), np.zeros(0, np.int64), Edges.none()
+            self._forget()
         at = np.searchsorted(self.seen, h)
         new = np.ones(len(h), bool)
         if len(self.seen):
@@ -121,10 +122,21 @@ class Lattice:
             spread = np.arange(mine.sum()) - np.repeat(begin, mine) + np.repeat(start[new], mine)
             nodes = len(self.edges.row) - 1
             self.edges = self.edges.joined(self.build(points[spread], begin, mine))
-            seen, base = np.concatenate([self.seen, h[new]]), np.concatenate([self.base, begin + nodes])
+            seen, base, sizes, used = (np.concatenate(x) for x in ((self.seen, h[new]), (self.base, begin + nodes), (self.sizes, mine), (self.used, np.zeros(len(mine), np.int64))))
             order = np.argsort(seen)
-            self.seen, self.base = seen[order], base[order]
-        return self.edges, self.base[np.searchsorted(self.seen, h)]
+            self.seen, self.base, self.sizes, self.used = seen[order], base[order], sizes[order], used[order]
+        at = np.searchsorted(self.seen, h)
+        self.used[at] += 1
+        return self.edges, self.base[at]
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: _UNITS // 2])
+        sizes = self.sizes[keep]
+        begin = np.cumsum(sizes) - sizes
+        nodes = np.arange(sizes.sum()) - np.repeat(begin, sizes) + np.repeat(self.base[keep], sizes)
+        old, self.edges = self.edges, self.edges.only(nodes)
+        del old
+        self.seen, self.base, self.sizes, self.used = self.seen[keep], begin, sizes, self.used[keep] // 2
 
     def build(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Edges:
         """The units' edges, by position and length, with their conditional probabilities given the position."""
@@ -187,6 +199,12 @@ class Edges:
     def joined(self, more: Edges) -> Edges:
         return Edges(np.concatenate([self.row[:-1], more.row + len(self.id)]), *(np.concatenate([getattr(self, k), getattr(more, k)]) for k in ("length", "id", "chance", "running")))
 
+    def only(self, nodes: np.ndarray) -> Edges:
+        many = self.row[nodes + 1] - self.row[nodes]
+        row = np.concatenate([[0], np.cumsum(many)])
+        e = np.arange(row[-1]) - np.repeat(row[:-1], many) + np.repeat(self.row[nodes], many)
+        return Edges(row, *(getattr(self, k)[e] for k in ("length", "id", "chance", "running")))
+
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of every node that a uniform number picks."""
         e, last = self.row[node].copy(), self.row[node + 1] - 1
