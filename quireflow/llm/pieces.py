@@ -163,8 +163,9 @@ class Lattice:
         # backward masses, by the distance to the unit's end
         mass = np.zeros(n + 1)
         left = end[source] - source
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(1, (int(left.max()) if n else 0) + 2))
+        most = int(left.max()) if n else 0
+        order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")  # short keys are sorted by radix
+        cuts = np.searchsorted(left[order], np.arange(1, most + 2))
         target = source + length
         inner = target < end[source]
         for d in range(len(cuts) - 1):
@@ -268,7 +269,7 @@ class Batch:
         self.first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         points = self.points = np.concatenate([np.zeros(0, np.int64), *parts])
         n = self.n = len(points)
-        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
         cut = np.zeros(n + 1, bool)
         cut[self.first] = True
         if n:
@@ -279,13 +280,15 @@ class Batch:
         h = _spans(_prefix(points), self.start, self.size) if n else np.zeros(0, np.uint64)
         distinct, where, unit = np.unique(h, return_index=True, return_inverse=True)
         self.edges, base = lattice.units(distinct, points, self.start[where], self.size[where])
-        self.of = np.repeat(np.arange(len(self.start)), self.size)
-        self.node = base[unit][self.of] + np.arange(n) - self.start[self.of] if n else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(len(self.start), dtype=np.int32), self.size)
+        self.node = (np.repeat((base[unit] - self.start).astype(np.int32), self.size) + np.arange(n, dtype=np.int32)) if n else np.zeros(0, np.int32)
 
     def uniform(self, keys: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
         """In (0, 1), by the text's key, the place in it and the draw."""
         with np.errstate(over="ignore"):
-            h = S.mix(S.mix(keys[self.doc[at]] + np.uint64(salt)) + (at - self.first[self.doc[at]]).astype(np.uint64))
+            # the text's mixed key less its first position, so that one addition gives both
+            mixed = S.mix(keys + np.uint64(salt)) - self.first[:-1].astype(np.uint64)
+            h = S.mix(mixed[self.doc[at]] + at.astype(np.uint64))
         return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
     def walk(self, at: np.ndarray, path: np.ndarray, keys: np.ndarray, salt: int) -> None:
@@ -304,6 +307,8 @@ class Batch:
 #: Exact bounds of the noise: a uniform number has 53 bits, so that -log(-log(u)) is under 37.5; nodes this unlikely
 #: stay unvalued until the largest value known falls below what they could reach.
 _REACH, _LIKELY = 37.5, -45.0
+#: Steps of a log-probability in a unit.
+_FIXED = float(1 << 34)
 
 
 class Path:
@@ -314,11 +319,12 @@ class Path:
         nodes = self.nodes = np.flatnonzero(edge >= 0)
         self.edge = edge[nodes]
         self.doc = batch.doc[nodes]
-        step = np.log(np.maximum(batch.edges.chance[self.edge], 1e-300))
-        total = np.concatenate([[0.0], np.cumsum(step)])
+        # in fixed point, so that sums don't depend on which texts stand before
+        step = np.rint(np.log(np.maximum(batch.edges.chance[self.edge], 1e-300)) * _FIXED).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(step)])
         self.first = np.searchsorted(self.doc, np.arange(len(batch.texts) + 1))
-        self.before = total[:-1] - total[self.first[self.doc]]
-        self.log = total[self.first[1:]] - total[self.first[:-1]]
+        self.before = (total[:-1] - total[self.first[self.doc]]) / _FIXED
+        self.log = (total[self.first[1:]] - total[self.first[:-1]]) / _FIXED
         self.taken = np.left_shift(1, self.edge - batch.edges.row[batch.node[nodes]])
         self.value = np.full(len(nodes), -np.inf)
         self.fresh = fresh[nodes]
@@ -466,7 +472,8 @@ def sample_pieces(docs: DataFrame, vocabulary: Vocabulary, s: Sampling = Samplin
                     ids, at = piece_ids(path)
                     there = np.flatnonzero(np.isfinite(values[r]))
                     lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    x = np.where(np.isneginf(threshold), np.inf, logs[r] - threshold)
+                    x = np.full(len(threshold), np.inf)
+                    np.subtract(logs[r], threshold, out=x, where=np.isfinite(threshold))
                     inclusion = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.clip(x, -30, 700)))))
                     take = pa.array(there)
                     yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, j - i).take(take), pa.array(np.full(len(there), r, np.int32)), lists.take(take), pa.array(logs[r][there]), pa.array(values[r][there]), pa.array(inclusion[there])], names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
