@@ -54,8 +54,12 @@ def _contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def learn(docs: DataFrame, p: Partial) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages, and language, packed four bytes and count of what the sample holds; at most the sample's bytes."""
     known = docs.where("lang is not null and text is not null and text <> ''").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.select("doc_id", "lang", "text").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= p.per_lang)
+    # a hash threshold lets through about twice what is wanted of every language, so that the ranking sees no more at any size
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    rates = {r.lang: 2.0 * p.per_lang / r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.n > 2 * p.per_lang}
+    rate = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), F.col("lang")), F.lit(1.0)) if rates else F.lit(1.0)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    sample = known.select("doc_id", "lang", "text", place.alias("place")).where(F.col("place") < rate).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= p.per_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ pieces. Decoding inverts encoding exactly, whatever the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -192,13 +192,26 @@ class Edges:
     id: np.ndarray
     chance: np.ndarray
     running: np.ndarray
+    room: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def none(cls) -> Edges:
         return cls(np.zeros(1, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0), np.zeros(0))
 
     def joined(self, more: Edges) -> Edges:
-        return Edges(np.concatenate([self.row[:-1], more.row + len(self.id)]), *(np.concatenate([getattr(self, k), getattr(more, k)]) for k in ("length", "id", "chance", "running")))
+        """These edges and more; they are written behind these where the arrays have room, so that growing is amortised."""
+        out, room = {}, dict(self.room)
+        for k in ("row", "length", "id", "chance", "running"):
+            old, new = getattr(self, k), getattr(more, k)
+            if k == "row":
+                old, new = old[:-1], new + len(self.id)
+            size = len(old) + len(new)
+            if k not in room or len(room[k]) < size:
+                room[k] = np.empty(size + size // 2, old.dtype)
+                room[k][: len(old)] = old
+            room[k][len(old) : size] = new
+            out[k] = room[k][:size]
+        return Edges(**out, room=room)
 
     def only(self, nodes: np.ndarray) -> Edges:
         many = self.row[nodes + 1] - self.row[nodes]
