@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from quireflow.errors import OptionError
 
 _made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quireflow-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='quireflow-')}")
+    return found or _own[0]
 
 
 def stage(df: DataFrame) -> DataFrame:
