@@ -17,9 +17,14 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: The characters up to U+00FF that composition changes; the others there stay, and none combines with another.
+UNSTABLE_LATIN = "[\u00a0\u00a8\u00aa\u00af\u00b2-\u00b5\u00b8-\u00ba\u00bc-\u00be]"
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; only texts beyond ASCII are sent to Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """Compatibility composition; only texts that it can change are sent to Python: none of ASCII and few of Latin ones."""
+    may = (F.octet_length(text) > F.char_length(text)) & (text.rlike("[^\u0000-\u00ff]") | text.rlike(UNSTABLE_LATIN))
+    return F.coalesce(_nfkc(F.when(may, text)), text)
 
 
 def strip(text: Column) -> Column:

@@ -1,5 +1,8 @@
 """Scalar text functions against the values their rules give."""
 
+import re
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,6 +25,14 @@ def test_normalize(spark):
     assert value(spark, lambda c: T.normalize(c, False), "مَدَّ") == ["مد"]
 
 
+def test_stable_characters():
+    latin = [chr(c) for c in range(256)]
+    changed = [c for c in latin if unicodedata.normalize("NFKC", c) != c]
+    assert changed == re.findall(T.UNSTABLE_LATIN, "".join(latin))
+    stable = "".join(c for c in latin if c not in changed)
+    assert unicodedata.normalize("NFKC", stable[::-1]) == stable[::-1]
+
+
 def test_keys_and_ratios(spark):
     assert value(spark, T.fuzzy_key, "Noor-Book. COM_1", "…") == ["noorbookcom1", ""]
     assert value(spark, T.coverage_chars, "a b\u3000c\n") == [3]
