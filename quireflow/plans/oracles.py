@@ -136,4 +136,19 @@ ORACLES: dict[str, str] = {
  SELECT c.book_id, c.page_no, rect_no, median(CAST(h AS DOUBLE)) AS size, avg(CASE WHEN word_no % 3 = 0 THEN 1.0 ELSE 0.0 END) AS bold FROM c JOIN r ON r.book_id = c.book_id AND r.page_no = c.page_no AND x + 2 BETWEEN rx AND rx + rw AND y + 4 BETWEEN ry AND ry + 15 GROUP BY 1, 2, 3""",
     "joined_lines": r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(text, 'e ', 'e-' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''), '␞'), '([A-Za-z])[-‐‑]␞([a-z])', '\1\2', 'g'), '␞', ' ', 'g') AS text FROM documents""",
     "device_pages": f"""WITH p AS ({_PAGES}), d(i, key, width, height) AS (VALUES {', '.join(f"({i}, '{k}', {w}, {h})" for i, (k, _, w, h, _) in enumerate(P.DEVICES))}) SELECT key, width, height, count(*) AS pages FROM p JOIN d ON i = page_no % 5 GROUP BY 1, 2, 3""",
+    "heading_tiers": f"WITH {_lines_sql('text')} SELECT book_id, page_no, line_no, 'h2' AS tier FROM l WHERE trim(text) <> '' AND length(text) < 40 AND {_WORDS.format('text')} BETWEEN 1 AND 8",
+    "footnote_split": f"""WITH p AS ({_PAGES}), o AS (SELECT *, unnest([1, 2]) AS ordinal FROM p)
+ SELECT book_id, page_no, ordinal, CAST(ordinal AS VARCHAR) AS label, CASE ordinal WHEN 1 THEN 'first source continued below' ELSE 'second source' END AS text, 'p' || (page_no + 1) || '-' || ordinal AS note_id FROM o""",
+    "footnote_refs": f"""WITH p AS ({_PAGES}), n AS (SELECT *, CAST(least(4, len(string_split(text, chr(10)))) AS INTEGER) AS last FROM p)
+ SELECT book_id, page_no, last AS elem_no, 'p' AS kind, CASE WHEN page_no % 2 = 0 THEN 'as said [^p' || (page_no + 1) || '-1] and [^p' || (page_no + 1) || '-2] there' ELSE 'as said (1) and (1) there' END AS text, CAST(NULL AS VARCHAR) AS note_id FROM n
+ UNION ALL SELECT book_id, page_no, last + 1, 'footnote', 'first source continued below', 'p' || (page_no + 1) || '-1' FROM n
+ UNION ALL SELECT book_id, page_no, last + 2, 'footnote', 'second source', 'p' || (page_no + 1) || '-2' FROM n""",
+    "layer_reasons": f"""WITH {_VERDICT}, q AS MATERIALIZED{_RECOGNISED.split(", q AS MATERIALIZED", 1)[1]},
+ y AS (SELECT book_id, page_no, coalesce(defect, verdict) AS why FROM w WHERE defect IS NOT NULL OR verdict = 'rejected')
+ SELECT z.book_id, z.page_no, route, CASE WHEN why IS NOT NULL AND route <> 'text-layer' THEN concat_ws('; ', why, nullif(reason, '')) ELSE reason END AS reason FROM z LEFT JOIN y ON y.book_id = z.book_id AND y.page_no = z.page_no""",
+    "volume_chunks": f"""WITH RECURSIVE {_EVERY}, c AS MATERIALIZED (SELECT book_id, chapter_no, CAST(sum(length(text)) AS DOUBLE) AS weight, sum(CAST(sum(length(text)) AS DOUBLE)) OVER (PARTITION BY book_id) AS total FROM k GROUP BY 1, 2),
+ v AS (SELECT book_id, chapter_no, weight AS run, total AS rest, 3 AS parts, 0 AS volume_no FROM c WHERE chapter_no = 0
+ UNION ALL SELECT c.book_id, c.chapter_no, CASE WHEN parts > 1 AND run + weight / 2 >= rest / parts THEN weight ELSE run + weight END, CASE WHEN parts > 1 AND run + weight / 2 >= rest / parts THEN rest - run ELSE rest END,
+ CASE WHEN parts > 1 AND run + weight / 2 >= rest / parts THEN parts - 1 ELSE parts END, CASE WHEN parts > 1 AND run + weight / 2 >= rest / parts THEN volume_no + 1 ELSE volume_no END FROM v JOIN c ON c.book_id = v.book_id AND c.chapter_no = v.chapter_no + 1)
+ SELECT book_id, chapter_no, volume_no FROM v""",
 }
