@@ -1,19 +1,18 @@
-"""Substring dedup: MinHash of sliding paragraphs, exact verification, removal clusters.
+"""Substring dedup: MinHash of sliding paragraphs as candidates, exact Jaccard verification of whole passages.
 
 A text's paragraphs slide over it: every run of ``window`` consecutive
 five-word shingles is one, and its MinHash is the shingle with the smallest
 hash. Overlapping paragraphs share most minima, so each minimum is emitted
-once, with the ``span`` words around it, the verification paragraph. Bands are
-tuned for recall: one row, so that equal minima collide, and of the span two
-bands, all shingles but the last and all but the first. Two spans of twelve
-shingles around one minimum have Jaccard similarity >= 0.8 exactly when one of
-these agrees, so joining on them verifies at once, no pair is emitted and no
-bucket grows with a frequent shingle. Any passage of 51 words or more that two
-texts share word for word has a span that lies wholly inside it.
-
-Spans joined by bands form components; each keeps its first occurrence, by
-doc_id and position, and the rest are removed. Where the words up to the next
-minimum equal those that follow the kept occurrence, they go as well.
+once. Texts that share a minimum become candidates of the first document that
+has it; so that a frequent shingle does not hide closer texts, they become
+candidates also of the first document that shares the shingles before it,
+after it, or both. A candidate pair's whole texts are then aligned on all
+their shingles: runs of equal shingles are joined over edits into the longest
+passages with Jaccard similarity >= 0.8, whose ends are those of the match.
+
+A passage of a text that an earlier document has is removed. Where that
+document's own passage is removed for a still earlier one, the text is kept
+there.
 """
 
 from __future__ import annotations
@@ -23,27 +22,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.llm import shingles as S
-from quireflow.llm.common import discard, ragged, store
-from quireflow.llm.graph import components
+from quireflow.llm.common import discard, ragged, shuffle_partitions, store, whole_groups
 
 
 @dataclass(frozen=True)
 class Paragraphs:
-    """``window`` shingles a sliding paragraph; ``before`` shingles of the span before its minimum, ``shingles`` in all."""
+    """``window`` shingles a sliding paragraph; ``before`` shingles of the span before its minimum, ``shingles`` in all, as many as a passage must share."""
 
     window: int = 35
     before: int = 6
     shingles: int = 12
 
-    @property
-    def after(self) -> int:
-        """Words of the span from the minimum on."""
-        return self.shingles - self.before + S.WORDS - 1
-
 
 def minima(sh: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """Positions that are smallest in some run of ``window`` shingles of their text (the whole text where it is shorter).
@@ -83,80 +77,199 @@ def minima(sh: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return hit
 
 
-def spans_of(data: np.ndarray, offsets: np.ndarray, p: Paragraphs) -> tuple[np.ndarray, ...]:
-    """text, position, gap, gap hash and the two bands of every minimum with a whole span around it."""
+def minima_of(data: np.ndarray, offsets: np.ndarray, p: Paragraphs) -> tuple[np.ndarray, ...]:
+    """text, the shingle itself and with those before and after it in its span (0: the text ends before), and whether it is a repeat in its text, of every minimum."""
     _, _, h, first = S.words(data, offsets)
     sh, at = S.shingle_hashes(h, first)
     a = minima(sh, at, p.window)
     text = np.searchsorted(at, a, side="right") - 1
-    gap = np.zeros(len(a), np.int64)
-    gap_hash = np.zeros(len(a), np.uint64)
-    if len(a) > 1:
-        total = np.zeros(len(sh) + 1, np.uint64)
-        np.cumsum(sh, out=total[1:])
-        same = text[1:] == text[:-1]
-        gap[:-1] = np.where(same, a[1:] - a[:-1], 0)
-        gap_hash[:-1] = np.where(same, total[a[1:] + 1] - total[a[:-1]], np.uint64(0))
-    local = a - at[text]
-    whole = (local >= p.before) & (local - p.before + p.shingles <= np.diff(at)[text])
-    a, text, gap, gap_hash, local = a[whole], text[whole], gap[whole], gap_hash[whole], local[whole]
-    around = sh[(a - p.before)[:, None] + np.arange(p.shingles)] if len(a) else np.zeros((0, p.shingles), np.uint64)
+    local, key = a - at[text], sh[a]
+    after = p.shingles - p.before - 1
+    sides = []
     with np.errstate(over="ignore"):
-        salts = S.mix(np.arange(1, p.shingles, dtype=np.uint64))
-        one = S.mix((around[:, :-1] * (salts | np.uint64(1))).sum(axis=1, dtype=np.uint64) + np.uint64(1))
-        two = S.mix((around[:, 1:] * (salts | np.uint64(1))).sum(axis=1, dtype=np.uint64) + np.uint64(2))
-        # repeats inside a span make its set small: such spans link only when they are equal
-        ordered = np.sort(around, axis=1)
-        few = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
-        both = S.mix(one * np.uint64(3) + two)
-    return text, local, gap, gap_hash, np.where(few, both, one), np.where(few, S.mix(both), two)
+        for low, n, whole in ((-p.before, p.before + 1, local >= p.before), (0, after + 1, local + after < np.diff(at)[text])):
+            side = np.zeros(len(a), np.uint64)
+            salts = S.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+            around = sh[(a[whole] + low)[:, None] + np.arange(n)]
+            side[whole] = S.mix((around * salts).sum(axis=1, dtype=np.uint64) + np.uint64(n))
+            sides.append(side)
+    order = np.lexsort((a, key, text))
+    again = np.zeros(len(a), bool)
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    return text, key, *sides, again
 
 
-def _spans(docs: DataFrame, p: Paragraphs) -> DataFrame:
+def _minima(docs: DataFrame, p: Paragraphs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in S.chunks(batch.column(2)):
-                text, local, gap, gap_hash, one, two = spans_of(data, offsets, p)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text].astype(np.int64)), pa.array(hashes[i:j][text].astype(np.int32)), pa.array(local.astype(np.int32)), pa.array(gap.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (gap_hash, one, two))], names=["doc_id", "text_hash", "pos", "gap", "gap_hash", "band1", "band2"])
+                text, key, left, right, again = minima_of(data, offsets, p)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text].astype(np.int64)), pa.array(hashes[i:j][text].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (key, left, right)), pa.array(again)], names=["doc_id", "text_hash", "key", "left", "right", "again"])
+
+    return docs.mapInArrow(run, "doc_id long, text_hash int, key long, left long, right long, again boolean")
+
+
+def matches(mine: np.ndarray, other: np.ndarray, earlier: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the shingles of ``mine`` that ``other`` has, and one place there: that after the last one's where it fits, else the first.
+
+    ``earlier``: both are one text, and only smaller positions count.
+    """
+    order = np.argsort(other, kind="stable")
+    ordered = other[order]
+    at = np.searchsorted(ordered, mine)
+    hit = ordered[np.minimum(at, len(other) - 1)] == mine if len(other) else np.zeros(len(mine), bool)
+    i = np.flatnonzero(hit)
+    j = order[at[i]]
+    if (ordered[1:] == ordered[:-1]).any():
+        last = -1
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            if k and i[k - 1] == x - 1 and last + 1 < len(other) and other[last + 1] == mine[x] and not (earlier and last + 1 >= x):
+                j[k] = y = last + 1
+            last = y
+    if earlier:
+        i, j = i[j < i], j[j < i]
+    return i, j
+
+
+def common_passages(i: np.ndarray, j: np.ndarray, p: Paragraphs) -> list[tuple[int, int, int, int]]:
+    """(start, end, start there, end there), in words, of the passages of two texts with matching shingles i, j whose Jaccard similarity is >= 0.8.
+
+    Runs of matches on one diagonal are joined over edits of less than a window
+    into the longest stretches in which the shared shingles are at least four
+    times those that only one side has, that is four fifths of all.
+    """
+    if len(i) < p.shingles:
+        return []
+    opens = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(j) != 1)))
+    closes = np.append(opens[1:], len(i)) - 1
+    over_i, over_j = i[opens[1:]] - i[closes[:-1]] - 1, j[opens[1:]] - j[closes[:-1]] - 1
+    # a run that steps back in the other text begins anew
+    far = (np.maximum(over_i, over_j) > p.window) | (over_j < 0)
+    out = []
+    for part in np.split(np.arange(len(opens)), np.flatnonzero(far) + 1):
+        shared = np.cumsum(closes[part] - opens[part] + 1)
+        missed = np.append(0, np.cumsum((over_i + over_j)[part[:-1]]))
+        # score of the stretch from run a to run b: after[b] - before[a]
+        after, before = shared - 4 * missed, np.append(0, shared[:-1]) - 4 * missed
+        best = np.maximum.accumulate(after[::-1])[::-1]
+        last = np.searchsorted(-best, -before, side="right") - 1
+        reach = -1
+        for a, b in enumerate(last.tolist()):
+            if b <= reach:
+                continue
+            if shared[b] - (shared[a - 1] if a else 0) >= p.shingles:
+                x, y = opens[part[a]], closes[part[b]]
+                out.append((int(i[x]), int(i[y]) + S.WORDS, int(j[x]), int(j[y]) + S.WORDS))
+                reach = b
+    return out
 
-    mine = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.hash("text").alias("text_hash"), "text")
-    return mine.mapInArrow(run, "doc_id long, text_hash int, pos int, gap int, gap_hash long, band1 long, band2 long")
+
+def _pairs(docs: DataFrame, p: Paragraphs) -> DataFrame:
+    """(doc_id, text_hash, rep): texts and the first documents with which they share a minimum, alone or with its neighbours on either side or both."""
+    every = store(_minima(docs, p))
+    often = every.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+    hits = store(every.join(often, "key"))
+    discard(every)
+    found = hits.where("doc_id <> rep or again").select("doc_id", "text_hash", "rep")
+    sides = {"left": F.col("left"), "right": F.col("right"), "both": F.when((F.col("left") != 0) & (F.col("right") != 0), F.xxhash64("left", "right")).otherwise(0)}
+    for side in sides.values():
+        closer = hits.select("doc_id", "text_hash", side.alias("side")).where("side <> 0")
+        first = closer.groupBy("side").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+        found = found.union(closer.join(first, "side").where("doc_id <> rep").select("doc_id", "text_hash", "rep"))
+    pairs = store(found.distinct())
+    discard(hits)
+    return pairs
+
+
+#: Texts that are compared with one document in one task.
+_COMPARED = 64
+#: Bytes of text that are hashed at once there.
+_BYTES = 1 << 20
+
+
+def _passages(docs: DataFrame, p: Paragraphs) -> DataFrame:
+    """(doc_id, text_hash, start_word, end_word, rep, rep_start, rep_end): verified passages of the candidate pairs."""
+    pairs = _pairs(docs, p)
+    shards = store(pairs.groupBy("rep").agg(F.ceil(F.count("*") / _COMPARED).cast("int").alias("shards")))
+    many = shards.where("shards > 1")
+    salted = pairs.join(many, "rep", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.coalesce("shards", F.lit(1)).cast("long")).cast("int"))
+    texts = docs.withColumnRenamed("text_hash", "hash")
+    compared = salted.join(docs, ["doc_id", "text_hash"]).select("rep", "salt", F.lit(True).alias("asks"), "doc_id", "text_hash", "text")
+    held = texts.join(shards.withColumnRenamed("rep", "doc_id"), "doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    held = held.select(F.col("doc_id").alias("rep"), "salt", F.lit(False).alias("asks"), "doc_id", F.col("hash").alias("text_hash"), "text")
+    order = ["rep", "salt"]
+    rows = held.union(compared).repartition(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, order, 512):
+            rep, asks, doc, text_hash = (rows.column(k).to_numpy() for k in ("rep", "asks", "doc_id", "text_hash"))
+            ends = np.append(starts[1:], rows.num_rows)
+            size = np.cumsum(pc.binary_length(rows.column("text")).to_numpy())
+            # groups are handled together up to some bytes of text
+            packs = np.split(np.arange(len(starts)), np.flatnonzero(np.diff(size[ends - 1] // _BYTES)) + 1)
+            out: list[tuple[int, ...]] = []
+            for pack in packs:
+                base = int(starts[pack[0]])
+                data, offsets = ragged(rows.column("text").slice(base, int(ends[pack[-1]]) - base))
+                _, _, h, first = S.words(data, offsets)
+                sh, at = S.shingle_hashes(h, first)
+                for a, z in zip(starts[pack].tolist(), ends[pack].tolist()):
+                    middle = a + int(np.count_nonzero(~asks[a:z]))
+                    for k in range(middle, z):
+                        for r in range(a, middle):
+                            own = doc[k] == rep[r]
+                            if own and text_hash[k] != text_hash[r]:
+                                continue
+                            i, j = matches(sh[at[k - base] : at[k - base + 1]], sh[at[r - base] : at[r - base + 1]], own)
+                            out += [(doc[k], text_hash[k], s, e, rep[r], rs, re) for s, e, rs, re in common_passages(i, j, p)]
+            columns = np.array(out, np.int64).reshape(-1, 7).T
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds)], names=["doc_id", "text_hash", "start_word", "end_word", "rep", "rep_start", "rep_end"])
+
+    out = store(rows.mapInArrow(run, "doc_id long, text_hash int, start_word int, end_word int, rep long, rep_start int, rep_end int").distinct())
+    discard(pairs)
+    discard(shards)
+    return out
+
+
+def _islands(ranges: DataFrame, of: list[str], start: str, end: str) -> DataFrame:
+    """``ranges`` with the number ``island`` of the group of overlapping or touching ranges of their text."""
+    order = Window.partitionBy(*of).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("opens", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
+    return ranges.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
 
 
 def duplicate_spans(docs: DataFrame, p: Paragraphs = Paragraphs()) -> DataFrame:
     """(doc_id, text_hash, start_word, end_word, n_paragraphs, component_id, kept_doc_id): the word ranges to remove.
 
-    end_word is exclusive; component_id is the smallest component of the range
-    and kept_doc_id the document that keeps its text. Only components found in
-    two or more documents count. Null, empty and short texts (under 16 words)
-    have no spans; rows with a null doc_id are left alone; fully repeated rows
-    are one document; text_hash tells rows of one doc_id apart. Ties go to the
-    smaller position. An empty table gives an empty result.
+    end_word is exclusive; n_paragraphs counts the verified passages in the
+    range; kept_doc_id is the document that keeps its text and component_id
+    tells the passages kept apart. Only passages found in two or more documents
+    count. Null, empty and short texts (under 16 words) have no spans; rows
+    with a null doc_id are left alone; fully repeated rows are one document;
+    text_hash tells rows of one doc_id apart. Ties go to the smaller position.
+    An empty table gives an empty result.
     """
-    all_spans = store(_spans(docs, p))
-    hits = None
-    for band in ("band1", "band2"):
-        often = all_spans.groupBy(band).agg(F.count("*").alias("n")).where("n > 1").select(band)
-        found = all_spans.join(often, band, "left_semi").select(*all_spans.columns)
-        hits = found if hits is None else hits.union(found)
-    hits = store(hits.distinct())
-    discard(all_spans)
-    groups = components(hits.select(F.col("band1").alias("a"), F.col("band2").alias("b")).distinct())
-    placed = hits.join(groups.withColumnRenamed("node", "band1").withColumnRenamed("component", "component_id"), "band1")
-    placed = store(placed.select("component_id", "doc_id", "text_hash", "pos", "gap", "gap_hash"))
-    keeper = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "pos", "gap_hash")).alias("k"), F.max("doc_id").alias("last")).where("k.doc_id <> last").drop("last")
-    lost = placed.join(keeper, "component_id").where("not (doc_id = k.doc_id and text_hash = k.text_hash and pos = k.pos)")
-    follows = (F.col("gap") > 0) & (F.col("gap_hash") == F.col("k.gap_hash"))
-    start = F.col("pos") - p.before
-    end = F.greatest(F.col("pos") + p.after, F.when(follows, F.col("pos") + F.col("gap") + S.WORDS).otherwise(0))
-    ranges = lost.select("doc_id", "text_hash", start.alias("start_word"), end.alias("end_word"), "component_id", F.col("k.doc_id").alias("kept_doc_id"))
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("start_word", "end_word")
-    reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.withColumn("opens", F.coalesce((F.col("start_word") > reach).cast("int"), F.lit(1)))
-    ranges = ranges.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = ranges.groupBy("doc_id", "text_hash", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.count("*").alias("n_paragraphs"), F.min("component_id").alias("component_id"), F.min("kept_doc_id").alias("kept_doc_id"))
-    return merged.drop("island")
+    mine = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.hash("text").alias("text_hash"), "text")
+    ranges = _islands(_passages(mine, p), ["doc_id", "text_hash"], "start_word", "end_word")
+    first = F.min(F.struct("rep", "rep_start", "rep_end"))
+    at = store(ranges.groupBy("doc_id", "text_hash", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.count("*").alias("n_paragraphs"), first.alias("k")).drop("island"))
+    # where the text found was itself removed, it is kept where that one points to; places only go down
+    onward = at.select(F.col("doc_id").alias("on_id"), F.col("start_word").alias("on_start"), F.col("end_word").alias("on_end"), F.col("k").alias("on_k"))
+    moved = at
+    while True:
+        inside = (F.col("k.rep") == F.col("on_id")) & (F.col("k.rep_start") < F.col("on_end")) & (F.col("k.rep_end") > F.col("on_start")) & (F.col("on_k") < F.col("k"))
+        new = store(moved.join(onward, inside, "left").groupBy("doc_id", "text_hash", "start_word", "end_word", "n_paragraphs", "k").agg(F.min("on_k").alias("on_k")))
+        if moved is not at:
+            discard(old)
+        if new.where("on_k is not null").isEmpty():
+            break
+        old = new
+        moved = new.select("doc_id", "text_hash", "start_word", "end_word", "n_paragraphs", F.coalesce("on_k", "k").alias("k"))
+    kept = _islands(new.select("doc_id", "text_hash", "start_word", "end_word", "n_paragraphs", "k.*"), ["rep"], "rep_start", "rep_end")
+    return kept.select("doc_id", "text_hash", "start_word", "end_word", "n_paragraphs", F.xxhash64("rep", "island").alias("component_id"), F.col("rep").alias("kept_doc_id"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -172,3 +172,24 @@ def test_vectors_against_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (close[i].sum(), component[i], component[i] == i)
     assert all(got[i].n_links == 0 and got[i].kept for i, *_ in bad)
     assert vector_near_dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size,edits", [(60, 1), (100, 2), (150, 3)])
+def test_edited_passages_are_removed_whole(spark, size, edits):
+    """Passages of Jaccard >= 0.8 with scattered changes, between words of their own."""
+    rng = random.Random(size)
+    rows, at, total = [], {}, 0
+    for k in range(60):
+        passage = words(rng, size, 10**6)
+        for copy in range(2):
+            v = list(passage)
+            for e in range(edits * copy):
+                v[(e + 1) * size // (edits + 1)] = f"z{rng.randrange(10**9)}"
+            before, after = words(rng, 100, 10**6), words(rng, 100, 10**6)
+            rows.append((2 * k + copy, " ".join(before + v + after)))
+    gone = {i: 0 for i in range(1, 120, 2)}
+    for r in duplicate_spans(frame(spark, rows)).collect():
+        assert r.doc_id % 2 and r.kept_doc_id == r.doc_id - 1
+        assert r.start_word >= 100 and r.end_word <= 100 + size
+        gone[r.doc_id] += r.end_word - r.start_word
+    assert sum(gone.values()) >= 0.95 * size * len(gone)
