@@ -6,8 +6,9 @@ is a JSON object with ``tool_calls`` (id, name, arguments, optional
 ``tool_call_id`` is a result. Calls and results meet in a hash join on
 (conv_id, id). Results must follow their calls and calls the results they
 depend on: messages keep their turns, and one that stands too early is moved
-behind what it needs, by relaxation over the dependency links alone. No
-conversation is collected anywhere; rows carry their place as a sort key.
+behind what it needs, by relaxation over the dependency links alone. Only the
+linked messages of a cycle or of a chain longer than ``max_depth`` are gathered,
+without their texts; rows carry their place as a sort key.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import discard, store
+from quireflow.llm.common import discard, shuffle_partitions, store, whole_groups
+from quireflow.llm.graph import components
 
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>,tool_call_id:string>"
 
@@ -116,8 +118,9 @@ def chat_format(messages: DataFrame, schemas: Mapping[str, Any] | None = None, m
     lists in order: duplicate_call, no_result, orphan_result,
     duplicate_result, cycle and the breaks of ``schemas`` (by tool name; none:
     arguments are not checked). Of several calls or results of one id the
-    first by turn counts; messages that wait for each other, or longer than
-    ``max_depth`` steps, keep their turn and are marked cycle. Nulls: a null
+    first by turn counts; messages that wait for each other keep their turn and
+    are all marked cycle. Links that still move messages after ``max_depth``
+    rounds are placed a component at a time, in linear time. Nulls: a null
     turn sorts first, a null text is null content, a null conv_id or id links
     with nothing. Rows equal in all four columns are one message for linking and
     come out each. An empty table gives an empty result.
@@ -178,6 +181,82 @@ def _places(messages: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
         new = store(at.join(moved, "msg", "left").select("msg", F.coalesce("least", "p").alias("p")))
         discard(at)
         at = new
-    marked = at.join(moved, "msg", "left").join(messages, "msg")
-    stuck = F.col("least").isNotNull()
-    return marked.select("msg", F.when(stuck, F.col("turn")).otherwise(F.col("p.t")).alias("order_turn"), F.when(stuck, 0).otherwise(F.col("p.d")).alias("order_depth"), stuck.alias("cycle"))
+    # what still moves waits for itself or in a long chain; its components are placed whole
+    of = components(links.select(F.col("before").alias("a"), F.col("after").alias("b")))
+    open_ = store(of.join(of.join(moved, F.col("node") == F.col("msg")).select("component").distinct(), "component"))
+    turns = messages.select(F.col("msg").alias("node"), "turn")
+    ends = links.join(open_.join(turns, "node").select(F.col("node").alias("after"), "component", F.col("turn").alias("after_turn")), "after")
+    ends = ends.join(turns.select(F.col("node").alias("before"), F.col("turn").alias("before_turn")), "before")
+    rows = ends.repartition(shuffle_partitions(links.sparkSession), "component").sortWithinPartitions("component", "before", "after").select("component", "before", "before_turn", "after", "after_turn")
+    kind = messages.schema["turn"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, starts in whole_groups(batches, ["component"]):
+            columns = [part.column(k).to_pylist() for k in ("before", "before_turn", "after", "after_turn")]
+            placed = []
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), part.num_rows]):
+                before, before_turn, after, after_turn = (c[a:z] for c in columns)
+                placed += placed_exactly(dict(zip(before, before_turn)) | dict(zip(after, after_turn)), list(zip(before, after)))
+            kinds = [pa.int64(), part.schema.field("after_turn").type, pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*placed), kinds)], names=["msg", "order_turn", "order_depth", "cycle"])
+
+    whole = store(rows.mapInArrow(run, f"msg long, order_turn {kind}, order_depth int, cycle boolean"))
+    rest = at.join(whole.select("msg"), "msg", "left_anti").select("msg", F.col("p.t").alias("order_turn"), F.col("p.d").alias("order_depth"), F.lit(False).alias("cycle"))
+    return rest.unionByName(whole)
+
+
+def placed_exactly(turns: dict[int, Any], links: list[tuple[int, int]]) -> list[tuple[int, Any, int, bool]]:
+    """(message, order_turn, order_depth, cycle) of linked messages, in time linear in the links.
+
+    Members of a cycle are the strongly connected components of two or more, by
+    Tarjan's method without recursion; they keep their turn. It closes a
+    component after all that follow it, so that its reverse is an order.
+    """
+    later: dict[int, list[int]] = {m: [] for m in turns}
+    for before, after in links:
+        later[before].append(after)
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    held: list[int] = []
+    inside: set[int] = set()
+    cycle: set[int] = set()
+    closed: list[int] = []
+    for root in turns:
+        if root in index:
+            continue
+        work = [(root, iter(later[root]))]
+        index[root] = low[root] = len(index)
+        held.append(root)
+        inside.add(root)
+        while work:
+            m, rest = work[-1]
+            for x in rest:
+                if x not in index:
+                    index[x] = low[x] = len(index)
+                    held.append(x)
+                    inside.add(x)
+                    work.append((x, iter(later[x])))
+                    break
+                if x in inside:
+                    low[m] = min(low[m], index[x])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[m])
+                if low[m] == index[m]:
+                    members = [held.pop()]
+                    while members[-1] != m:
+                        members.append(held.pop())
+                    inside.difference_update(members)
+                    closed += members
+                    if len(members) > 1:
+                        cycle.update(members)
+
+    # a null turn sorts first
+    place = {m: (t is not None, t, 0) for m, t in turns.items()}
+    for m in reversed(closed):
+        known, t, depth = place[m]
+        for x in later[m]:
+            if x not in cycle:
+                place[x] = max(place[x], (known, t, depth + 1), key=lambda p: (p[0], p[1] if p[0] else 0, p[2]))
+    return [(m, *place[m][1:], m in cycle) for m in turns]

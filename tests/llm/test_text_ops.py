@@ -170,6 +170,26 @@ def test_chat_links_and_orders(spark):
     assert chat_format(df.limit(0)).count() == 0
 
 
+def test_chat_places_long_chains_and_marks_whole_cycles(spark):
+    def call(i, *needs):
+        return json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {}, "depends_on": list(needs)}]})
+
+    def result(i):
+        return json.dumps({"tool_call_id": i})
+
+    n = 20  # a chain in reverse: every call needs the result of the next
+    rows = [(1, 2 * (n - k), "assistant", call(f"c{k}", *([f"c{k - 1}"] if k else []))) for k in range(n)]
+    rows += [(1, 2 * (n - k) + 1, "tool", result(f"c{k}")) for k in range(n)]
+    rows += [(2, 0, "assistant", call("p", "q")), (2, 1, "tool", result("p")), (2, 2, "assistant", call("q", "p")), (2, 3, "tool", result("q")), (2, 4, "assistant", call("r", "q")), (2, 5, "tool", result("r"))]
+    got = chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), max_depth=3).collect()
+    chain = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.order_turn, r.order_depth, r.turn))
+    assert [r.turn for r in chain] == [2 * (n - k) + d for k in range(n) for d in (0, 1)]
+    assert not any("cycle" in r.problems for r in chain)
+    marked = {r.turn: "cycle" in r.problems for r in got if r.conv_id == 2}
+    assert marked == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
+    assert all((r.order_turn, r.order_depth) == (r.turn, 0) for r in got if r.conv_id == 2)
+
+
 @pytest.fixture(scope="module")
 def lattice():
     return Lattice(Vocabulary.load(PIECES), 50.0)
