@@ -3,7 +3,9 @@
 Pages are cut into blocks by a streaming tokenizer and dealt, by host and a
 hash of the page, to shards of bounded size. The tokens of a shard's pages are
 concatenated and a suffix array over them, sorted to a depth of ``run`` tokens,
-shows every stretch of at least that length that distinct pages share. Blocks
+shows every stretch of at least that length that distinct pages share. For a
+host of several shards, hashes of the stretches are counted over all of its
+distinct pages and sent back to the shards, so that size changes nothing. Blocks
 mostly covered by such stretches are boilerplate and go; unique runs stay. Then
 follows an exact check by markup: blocks of menus, headers, footers, adverts
 and the like go wherever they are, and blocks of an ``article`` or ``main``
@@ -13,6 +15,7 @@ that copied articles and common passages are kept.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.llm import shingles as S
 from quireflow.llm.common import shuffle_partitions, store, whole_groups
 
 #: Elements without text of their own, elements that are never article text, elements that end a block; fixed values of HTML.
@@ -64,7 +68,7 @@ NOISE, PLAIN, ARTICLE = 0, 1, 2
 class Boilerplate:
     """``run`` tokens make a long substring and ``pages`` distinct pages make it boilerplate.
 
-    Inside an article it takes ``most`` of the shard's distinct pages, and ``template_pages`` at least.
+    Inside an article it takes ``most`` of the host's distinct pages, and ``template_pages`` at least.
     Shards hold about ``shard_pages`` pages of one host.
     """
 
@@ -211,6 +215,29 @@ def shared_runs(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndar
     return out, order
 
 
+def token_hashes(texts: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of the tokens of blocks, the same everywhere."""
+    out = []
+    for text in texts:
+        for w in text.split(" "):
+            if w not in known:
+                known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            out.append(known[w])
+    return np.array(out, np.uint64)
+
+
+def run_hashes(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every position a hash of the ``run`` tokens that begin there, and whether the page holds them whole."""
+    n = len(tokens)
+    whole = np.arange(n) + run <= np.searchsorted(page, page, side="right")
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        salts = S.mix(np.arange(1, run + 1, dtype=np.uint64)) | np.uint64(1)
+        for k in range(run):
+            out[: max(n - k, 0)] += S.mix(tokens[k:] + np.uint64(k)) * salts[k]
+    return S.mix(out).view(np.int64), whole
+
+
 def covered(counts: np.ndarray, needed: np.ndarray, run: int) -> np.ndarray:
     """Whether some run that enough pages share covers the position."""
     n = len(counts)
@@ -221,8 +248,12 @@ def covered(counts: np.ndarray, needed: np.ndarray, run: int) -> np.ndarray:
     return np.cumsum(delta)[:n] > 0
 
 
-def shard_texts(pages: list[list[tuple[int, str]]], b: Boilerplate) -> list[str]:
-    """The main texts of a shard's pages."""
+def shard_texts(pages: list[list[tuple[int, str]]], b: Boilerplate, of_host: tuple[np.ndarray, np.ndarray, int] | None = None) -> list[str]:
+    """The main texts of a shard's pages.
+
+    ``of_host``, where the shard is a part of its host: hashes of runs, ascending,
+    their distinct pages on the host, and the host's distinct pages.
+    """
     words: dict[str, int] = {}
     tokens, page, of_block, kinds = [], [], [], []
     contents: dict[tuple, int] = {}
@@ -246,10 +277,17 @@ def shard_texts(pages: list[list[tuple[int, str]]], b: Boilerplate) -> list[str]
     firsts = np.unique(np.array(ids), return_index=True)[1]
     lead = np.isin(where, firsts)
     counts = np.zeros(len(where), np.int64)
-    counts[lead], _ = shared_runs(np.array(tokens)[lead], where[lead], b.run)
+    distinct = len(contents)
+    if of_host is None:
+        counts[lead], _ = shared_runs(np.array(tokens)[lead], where[lead], b.run)
+    else:
+        runs, on_pages, distinct = of_host
+        if len(runs):
+            mine, whole = run_hashes(token_hashes([text for parts in pages for _, text in parts], {}), where, b.run)
+            place = np.minimum(np.searchsorted(runs, mine), len(runs) - 1)
+            counts = np.where(whole & (runs[place] == mine), on_pages[place], 0)
     sizes = np.bincount(of, minlength=block)
     kind = np.array(kinds)
-    distinct = len(contents)
     plain = np.bincount(of, weights=covered(counts, np.full(len(where), b.pages), b.run), minlength=block) > 0.5 * sizes
     template = np.bincount(of, weights=covered(counts, np.full(len(where), max(b.template_pages, int(np.ceil(b.most * distinct)))), b.run), minlength=block) == sizes
     first_block = np.concatenate([[0], np.cumsum([len(x) for x in pages])])
@@ -297,14 +335,46 @@ def html_text(pages: DataFrame, b: Boilerplate = Boilerplate()) -> DataFrame:
     parted = mine.mapInArrow(cut, f"page_id {id_kind}, url string, host string, kinds binary, text string")
     dealt = parted.join(F.broadcast(sizes) if few else sizes, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))))
     order = ["host", "shard"]
-    rows = dealt.repartition(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "page_id").select("page_id", "url", "host", "shard", "kinds", "text")
+    # pages of hosts of several shards: their runs are counted over the host, equal pages once, and those that matter go back to the shards that have them
+    parts = store(dealt.where("shards is not null").select("host", "shard", F.xxhash64("kinds", "text").alias("content"), "text"))
+    run_length, least = b.run, max(2, min(b.pages, b.template_pages))
+
+    def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, int] = {}
+            for i in range(0, batch.num_rows, 64):
+                some = batch.slice(i, 64)
+                tokens = [token_hashes(x.split("\n"), known) if x else np.zeros(0, np.uint64) for x in some.column(2).to_pylist()]
+                page = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+                mine, whole = run_hashes(np.concatenate(tokens), page, run_length)
+                both = np.unique(np.stack([page[whole], mine[whole]]), axis=1)
+                yield pa.RecordBatch.from_arrays([*(some.column(k).take(pa.array(both[0])) for k in (0, 1)), pa.array(both[1])], names=["host", "shard", "run"])
+
+    runs_schema = "host string, shard long, run long"
+    once = parts.dropDuplicates(["host", "content"]).select("host", "shard", "text")
+    common = store(once.mapInArrow(cut_runs, runs_schema).groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    here = parts.select("host", "shard", "text").mapInArrow(cut_runs, runs_schema).join(common, ["host", "run"]).distinct()
+    distinct = parts.groupBy("host").agg(F.count_distinct("content").alias("distinct"))
+    tables = here.groupBy("host", "shard").agg(F.sort_array(F.collect_list(F.struct("run", "n"))).alias("r")).join(distinct, "host")
+    tables = tables.select("host", "shard", F.col("r.run").alias("runs"), F.col("r.n").alias("on_pages"), "distinct")
+    every = dealt.select("page_id", "url", "host", "shard", "kinds", "text", F.col("shards").isNotNull().alias("part")).unionByName(tables, allowMissingColumns=True)
+    columns = ["page_id", "url", "host", "shard", "kinds", "text", "part", "runs", "on_pages", "distinct"]
+    rows = every.repartition(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "part", "page_id").select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, order, 256):
             for a, z in zip(starts, np.append(starts[1:], rows.num_rows)):
-                part = rows.slice(a, z - a).combine_chunks()
+                part = rows.slice(a, z - a)
+                of_host = None
+                # a null part sorts first: the runs of the shard
+                if part.column("part")[0].as_py() is None:
+                    of_host = (*(np.array(part.column(k)[0].values.to_numpy()) for k in ("runs", "on_pages")), part.column("distinct")[0].as_py())
+                    part = part.slice(1)
+                elif part.column("part")[0].as_py():
+                    of_host = (np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+                part = part.select(["page_id", "url", "kinds", "text"]).combine_chunks()
                 pages = [[*zip(k, t.split("\n"))] if k else [] for k, t in zip(part.column("kinds").to_pylist(), part.column("text").to_pylist())]
-                texts = shard_texts(pages, b)
+                texts = shard_texts(pages, b, of_host)
                 yield pa.RecordBatch.from_arrays([part.column("page_id").combine_chunks(), part.column("url").combine_chunks(), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     out = rows.mapInArrow(run, f"page_id {id_kind}, url string, text string")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quireflow.llm.chat import canonical, chat_format, violations
-from quireflow.llm.html_text import blocks, html_text, shared_runs
+from quireflow.llm.html_text import Boilerplate, blocks, html_text, shared_runs
 from quireflow.llm.language_id import language_id
 from quireflow.llm.packing import Bins, best_fit_packing, pack_shard
 from quireflow.llm.pieces import Batch, Lattice, Sampling, Vocabulary, decode, piece_ids, sample_pieces, top_k
@@ -285,3 +285,19 @@ def test_html_text_removes_shared_blocks(spark):
     for i, _, _, text in rows:
         assert (got[i].text, got[i].n_chars) == (text, len(text))
     assert html_text(df.limit(0)).count() == 0
+
+
+def test_html_text_does_not_depend_on_shards(spark):
+    """A passage on three pages of a host goes from all of them, in however many shards they lie; equal pages count as one."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(60):
+        own = " ".join(f"w{rng.randrange(99999)}" for _ in range(30))
+        third = " ".join(f"p{i % 20}x{k}" for k in range(12))  # on three pages
+        rows.append((i, f"http://h.example/{i}", f"<body><div>{third}</div><div>{own}</div></body>"))
+    copy = " ".join(f"c{k}" for k in range(40))
+    rows += [(100 + i, f"http://h.example/c{i}", f"<body><div>{copy}</div></body>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, cut = ({r.page_id: r.text for r in html_text(df, Boilerplate(shard_pages=n)).collect()} for n in (256, 8))
+    assert whole == cut and len(cut) == len(rows)
+    assert not any("x" in cut[i] for i in range(60)) and cut[100] == copy
