@@ -23,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for durable intermediates: ``spark.checkpoint.dir``, or an own one where unset."""
+    """The shared folder for durable intermediates: ``spark.checkpoint.dir``; where it is unset, an own one, which only a local session can use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not _own:
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; intermediates need a folder that all executors share")
+    if not _own:
         _own.append(f"file://{tempfile.mkdtemp(prefix='quireflow-')}")
-    return found or _own[0]
+    return _own[0]
 
 
 def store(df: DataFrame) -> DataFrame:
