@@ -32,9 +32,15 @@ from quireflow.llm.common import discard, ragged, shuffle_partitions, store, who
 
 @dataclass(frozen=True)
 class Paragraphs:
-    """``window`` shingles a sliding paragraph; ``before`` shingles of the span before its minimum, ``shingles`` in all, as many as a passage must share."""
+    """``window`` shingles a sliding paragraph; ``before`` shingles of the span before its minimum, ``shingles`` in all, as many as a passage must share.
 
-    window: int = 35
+    A run of ``window`` shared shingles always shows a shared minimum. Passages
+    of similarity >= 0.8 with an edit inside have 45 shingles at least and one
+    run of 20 at least, so that 20 misses none of them for want of a candidate;
+    a run of s < 20 shingles is missed with a chance of at most 1 - s / 20.
+    """
+
+    window: int = 20
     before: int = 6
     shingles: int = 12
 
@@ -51,7 +57,8 @@ def minima(sh: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     while width < window:
         step = min(width, window - width)
         shifted = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        shifted[: n - step] = least[step:]
+        if step < n:
+            shifted[: n - step] = least[step:]
         least, width = np.minimum(least, shifted), width + step
     text = np.repeat(np.arange(len(sizes)), sizes)
     valid = np.arange(n) + window <= at[text + 1]
@@ -60,7 +67,8 @@ def minima(sh: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     while width < window:
         step = min(width, window - width)
         shifted = np.zeros(n, np.uint64)
-        shifted[step:] = most[: n - step]
+        if step < n:
+            shifted[step:] = most[: n - step]
         most, width = np.maximum(most, shifted), width + step
     # no valid window reaches past its text, so a position's windows are all of its own text
     some = np.flatnonzero(sizes)
@@ -167,10 +175,9 @@ def common_passages(i: np.ndarray, j: np.ndarray, p: Paragraphs) -> list[tuple[i
 
 def _pairs(docs: DataFrame, p: Paragraphs) -> DataFrame:
     """(doc_id, text_hash, rep): texts and the first documents with which they share a minimum, alone or with its neighbours on either side or both."""
-    every = store(_minima(docs, p))
-    often = every.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-    hits = store(every.join(often, "key"))
-    discard(every)
+    # the minima are cheaper to compute twice than to store
+    often = _minima(docs, p).groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+    hits = store(_minima(docs, p).join(often, "key"))
     found = hits.where("doc_id <> rep or again").select("doc_id", "text_hash", "rep")
     sides = {"left": F.col("left"), "right": F.col("right"), "both": F.when((F.col("left") != 0) & (F.col("right") != 0), F.xxhash64("left", "right")).otherwise(0)}
     for side in sides.values():
@@ -194,12 +201,12 @@ def _passages(docs: DataFrame, p: Paragraphs) -> DataFrame:
     shards = store(pairs.groupBy("rep").agg(F.ceil(F.count("*") / _COMPARED).cast("int").alias("shards")))
     many = shards.where("shards > 1")
     salted = pairs.join(many, "rep", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.coalesce("shards", F.lit(1)).cast("long")).cast("int"))
-    texts = docs.withColumnRenamed("text_hash", "hash")
-    compared = salted.join(docs, ["doc_id", "text_hash"]).select("rep", "salt", F.lit(True).alias("asks"), "doc_id", "text_hash", "text")
-    held = texts.join(shards.withColumnRenamed("rep", "doc_id"), "doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    held = held.select(F.col("doc_id").alias("rep"), "salt", F.lit(False).alias("asks"), "doc_id", F.col("hash").alias("text_hash"), "text")
+    # where every text goes, as the one that asks or the one that is held against; texts are joined with it once
+    asking = salted.select("doc_id", F.col("text_hash").alias("hash"), "rep", "salt", F.lit(True).alias("asks"))
+    held = shards.select(F.col("rep").alias("doc_id"), F.lit(None).cast("int").alias("hash"), "rep", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("salt"), F.lit(False).alias("asks"))
+    rows = docs.join(asking.union(held), "doc_id").where("hash is null or hash = text_hash").select("rep", "salt", "asks", "doc_id", "text_hash", "text")
     order = ["rep", "salt"]
-    rows = held.union(compared).repartition(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "asks")
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, order, 512):
@@ -277,23 +284,26 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     Texts without a span stay byte for byte; other columns are kept as they are.
     """
-    lists = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").cast("int").alias("start_word"), F.col("end_word").cast("int").alias("end_word")))).alias("r"))
-    lists = lists.select(F.col("doc_id").alias("sp_id"), F.col("text_hash").alias("sp_hash"), F.transform("r", lambda x: x["start_word"]).alias("sp_from"), F.transform("r", lambda x: x["end_word"]).alias("sp_to"))
-    joined = docs.join(lists, (docs["doc_id"].cast("long") == F.col("sp_id")) & (F.hash(docs["text"]) == F.col("sp_hash")), "left").drop("sp_id", "sp_hash")
     names = docs.columns
+    # helper columns under names that the table does not have
+    ident, hashed, froms, tos = (f"{'_' * max(map(len, names))}{k}" for k in ("id", "hash", "from", "to"))
+    ranges = F.sort_array(F.collect_list(F.struct(F.col("start_word").cast("int").alias("start_word"), F.col("end_word").cast("int").alias("end_word"))))
+    lists = spans.groupBy(F.col("doc_id").alias(ident), F.col("text_hash").alias(hashed)).agg(ranges.alias("r"))
+    lists = lists.select(ident, hashed, F.col("r.start_word").alias(froms), F.col("r.end_word").alias(tos))
+    joined = docs.join(lists, (F.col("doc_id").cast("long") == F.col(ident)) & (F.hash("text") == F.col(hashed)), "left").drop(ident, hashed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            texts, froms, tos = batch.column(at), batch.column(len(names)), batch.column(len(names) + 1)
-            if froms.null_count < len(froms):
+            texts, begins, ends = batch.column(at), batch.column(len(names)), batch.column(len(names) + 1)
+            if begins.null_count < len(begins):
                 new = texts.to_pylist()
-                for i in np.flatnonzero(froms.is_valid().to_numpy(zero_copy_only=False)):
-                    new[i] = cut(new[i], froms[i].as_py(), tos[i].as_py())
+                for i in np.flatnonzero(begins.is_valid().to_numpy(zero_copy_only=False)):
+                    new[i] = cut(new[i], begins[i].as_py(), ends[i].as_py())
                 texts = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays([texts if k == at else batch.column(k) for k in range(len(names))], names=names)
 
-    return joined.select(*names, "sp_from", "sp_to").mapInArrow(run, docs.schema)
+    return joined.select(*(F.col(f"`{c}`") for c in [*names, froms, tos])).mapInArrow(run, docs.schema)
 
 
 def cut(text: str, froms: list[int], tos: list[int]) -> str:
