@@ -159,8 +159,11 @@ def ngram_jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
         discard(links)
         links = store(_candidates(tries, classes, forest, length))
         bins = [tuple(r) for r in links.where("a is null").groupBy("bin").agg(F.sum("n")).collect()]  # at most 51 rows
-        if length == 1 or estimated_recall(bins, forest, length) >= forest.target_recall:
+        # prefixes of one value catch a pair at the threshold with 1 - 0.2 ** 16, so that the target is always reached
+        if estimated_recall(bins, forest, length) >= forest.target_recall:
             break
+        if length == 1:
+            raise ValueError(f"{forest.trees} trees cannot reach a recall of {forest.target_recall}")
         length -= 1
     groups = store(components(links.where("a is not null").select("a", "b")))
     verified = store(_verified(docs, groups, classes, forest))
