@@ -1,15 +1,19 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
 Fixed base rules come first. Beyond them, cutoffs on a few signals are chosen
-per stratum from labelled documents: a cutoff is certified when an exact
-binomial bound says that it falsely rejects at most its share of the allowed
-rate, and cutoffs are tested from the mildest to the strictest until one fails
-(fixed sequence), with the error rate split over signals and strata
-(Bonferroni). One half of the labels nominates cutoffs, the other certifies.
+per stratum from labelled documents. One half of the labels nominates: of every
+signal the cutoffs that catch bad documents well more often than good ones.
+They make up levels, each the strictest nominated cutoffs so far of all signals
+together, so that a level rejects what the one before it does. The other half
+certifies: a level passes when an exact binomial bound says that all its
+cutoffs together falsely reject at most the allowed rate, and levels are tested
+from the mildest until one fails (fixed sequence), with the error rate split
+over the strata that have nominees (Bonferroni).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,10 +38,16 @@ SIGNALS: dict[str, list[float]] = {
 
 @dataclass(frozen=True)
 class Risk:
-    """``max_rate`` of good documents may be rejected in a stratum by all signals together, with confidence 1 - ``error``."""
+    """``max_rate`` of good documents may be rejected in a stratum by all signals together, with confidence 1 - ``error``.
+
+    A cutoff is nominated where it catches bad documents at more than ``lift``
+    times the rate of good ones. With four strata, 86 good documents in the
+    certifying half, none rejected, suffice at these rates.
+    """
 
     max_rate: float = 0.05
     error: float = 0.05
+    lift: float = 2.0
     min_words: int = 50
     repeat_percent: int = 50
 
@@ -86,8 +96,7 @@ def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
     )
     words, chars, rows = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1)), F.greatest("n_lines", F.lit(1))
     rates = {"symbol_rate": F.col("n_symbols") / chars, "upper_rate": F.col("n_upper") / chars, "repeat_rate": F.col("n_repeat_words") / words, "dup_line_rate": F.col("n_dup_lines") / rows, "mark_rate": F.col("n_marks") / words}
-    # a filter on these columns must not be pushed below them: it would evaluate them again, word by word
-    return m.withColumns(rates | ({"barrier": F.monotonically_increasing_id()} if whole else {}))
+    return m.withColumns(rates)
 
 
 def base_failed(risk: Risk) -> Column:
@@ -109,8 +118,20 @@ def log_binomial_cdf(k: Column, n: Column, p: Column) -> Column:
     return F.aggregate(upto, state, add)["total"]
 
 
+#: Levels of the fixed sequence: ranks of the longest list of cutoffs.
+LEVELS = max(map(len, SIGNALS.values()))
+
+
+def over_any(risk_columns: str = "max_") -> Column:
+    """Whether some signal is over its cutoff column; a null cutoff rejects nothing."""
+    over = F.lit(False)
+    for s in SIGNALS:
+        over = over | F.coalesce(F.col(s) > F.col(f"{risk_columns}{s}"), F.lit(False))
+    return over
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
-    """(stratum, signal, cutoff): the strictest certified cutoff; signals without one are absent.
+    """(stratum, max_<signal>...): the cutoffs of the strictest certified level; strata without one are absent.
 
     Good documents are labelled quality 1, bad ones 0; other or null labels and
     labels without a document are ignored, and a document labelled twice counts
@@ -119,46 +140,42 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk) -> Dat
     """
     said = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     known = measured.where(~base_failed(risk)).select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), *SIGNALS).join(said, "doc_id")
-    known = known.withColumn("holdout", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8")
+    known = store(known.withColumn("holdout", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8"))
+
     grid = F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.lit(r).alias("rank"), F.lit(float(c)).alias("cutoff"), (F.col(s) > c).cast("int").alias("out")) for s, cs in SIGNALS.items() for r, c in enumerate(cs))))
-    cells = known.select("stratum", "quality", "holdout", grid.alias("g")).select("stratum", "quality", "holdout", "g.*")
+    cells = known.where("not holdout").select("stratum", "quality", grid.alias("g")).select("stratum", "quality", "g.*")
 
-    def count(quality: int, held: bool, value: Column) -> Column:
-        return F.sum(F.when((F.col("quality") == quality) & (F.col("holdout") == held), value).otherwise(0))
+    def count(quality: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("quality") == quality, value).otherwise(0))
 
     out, one = F.col("out"), F.lit(1)
-    cells = cells.groupBy("stratum", "signal", "rank", "cutoff").agg(count(1, True, out).alias("k"), count(1, True, one).alias("n"), count(1, False, out).alias("fit_good"), count(1, False, one).alias("fit_good_n"), count(0, False, out).alias("fit_bad"), count(0, False, one).alias("fit_bad_n"))
-    strata = cells.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    share = risk.max_rate / len(SIGNALS)
-    level = F.log(F.lit(risk.error / len(SIGNALS)) / F.col("strata"))
-    # a signal takes part in a stratum when the other half of the labels shows that it catches more bad than good documents
-    helps = F.col("fit_bad") * F.greatest("fit_good_n", F.lit(1)) > F.col("fit_good") * F.greatest("fit_bad_n", F.lit(1))
-    # at most share * n rejections can pass, which bounds the sum
-    tested = cells.join(F.broadcast(strata)).withColumn("passes", F.when(F.col("k") <= share * F.col("n"), log_binomial_cdf(F.col("k"), F.col("n"), F.lit(share)) <= level).otherwise(False))
-    sequence = Window.partitionBy("stratum", "signal").orderBy("rank")
-    tested = tested.withColumn("open", F.min(F.col("passes").cast("int")).over(sequence.rowsBetween(Window.unboundedPreceding, 0)))
-    return tested.where((F.col("open") == 1) & helps).groupBy("stratum", "signal").agg(F.min("cutoff").alias("cutoff"))
-
-
-#: Strata up to which the cutoffs are broadcast; beyond, they are joined by stratum.
-FEW_STRATA = 10_000
-
-
-def cutoff_table(docs: DataFrame, labels: DataFrame, risk: Risk, measured: DataFrame | None = None) -> DataFrame:
-    """(stratum, max_<signal>...): the certified cutoffs, one row a stratum, stored."""
-    m = store(measures(docs.select("doc_id", "text", "lang"))) if measured is None else measured
-    limits = certified_cutoffs(m, labels.select("doc_id", "quality"), risk)
-    return store(limits.groupBy("stratum").agg(*(F.min(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"max_{s}") for s in SIGNALS)))
-
-
-def judged(measured: DataFrame, limits: DataFrame, risk: Risk) -> DataFrame:
-    """``measured`` with base_failed and kept."""
-    few = limits.limit(FEW_STRATA + 1).count() <= FEW_STRATA
-    wide = measured.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(F.broadcast(limits) if few else limits, "stratum", "left")
-    over = F.lit(False)
-    for s in SIGNALS:
-        over = over | F.coalesce(F.col(s) > F.col(f"max_{s}"), F.lit(False))
-    return wide.withColumn("base_failed", base_failed(risk)).withColumn("kept", ~F.col("base_failed") & ~over)
+    cells = cells.groupBy("stratum", "signal", "rank", "cutoff").agg(count(1, out).alias("good"), count(1, one).alias("good_n"), count(0, out).alias("bad"), count(0, one).alias("bad_n"))
+    nominated = cells.where(F.col("bad") * F.greatest("good_n", F.lit(1)) > risk.lift * F.col("good") * F.greatest("bad_n", F.lit(1)))
+    levels = nominated.select("stratum", "signal", "cutoff", F.explode(F.sequence("rank", F.lit(LEVELS - 1))).alias("level"))
+    levels = store(levels.groupBy("stratum", "level").agg(*(F.min(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"max_{s}") for s in SIGNALS)))
+    strata = max(1, levels.select("stratum").distinct().count())
+
+    tried = known.where("holdout and quality = 1").join(light(levels), "stratum").groupBy("stratum", "level").agg(F.sum(over_any().cast("int")).alias("k"), F.count("*").alias("n"))
+    # at most max_rate * n rejections can pass, which bounds the sum
+    passes = F.when(F.col("k") <= risk.max_rate * F.col("n"), log_binomial_cdf(F.col("k"), F.col("n"), F.lit(risk.max_rate)) <= math.log(risk.error / strata)).otherwise(False)
+    sequence = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = tried.withColumn("open", F.min(passes.cast("int")).over(sequence)).where("open = 1")
+    return levels.join(open_.groupBy("stratum").agg(F.max("level").alias("level")), ["stratum", "level"]).drop("level")
+
+
+#: Rows of cutoffs up to which they are broadcast; beyond, they are joined by stratum.
+FEW = 100_000
+
+
+def light(cutoffs: DataFrame) -> DataFrame:
+    return F.broadcast(cutoffs) if cutoffs.limit(FEW + 1).count() <= FEW else cutoffs
+
+
+def judged(measured: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
+    """``measured``, which is stored, with base_failed and kept."""
+    limits = store(certified_cutoffs(measured, labels.select("doc_id", "quality"), risk))
+    wide = measured.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(light(limits), "stratum", "left")
+    return wide.withColumn("base_failed", base_failed(risk)).withColumn("kept", ~F.col("base_failed") & ~over_any())
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
@@ -170,12 +187,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
     no words and fail. Rows are judged one by one, repeated ones alike; an
     empty table gives an empty result.
     """
-    m = store(measures(docs.select("doc_id", "text", "lang")))
-    out = judged(m, cutoff_table(docs, labels, risk, m), risk)
+    out = judged(store(measures(docs.select("doc_id", "text", "lang"))), labels, risk)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns; texts are read twice and never shuffled."""
-    limits = cutoff_table(docs, labels, risk)
-    return judged(measures(docs, whole=True), limits, risk).where("kept and barrier >= 0").select("row.*")
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns; measured once, and stored beside their measures."""
+    return judged(store(measures(docs, whole=True)), labels, risk).where("kept").select("row.*")
