@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import shuffle_partitions, whole_groups
+from quireflow.llm.common import shuffle_partitions, store, whole_groups
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,10 @@ class Bins:
     shard_rows: int = 4096
 
 
+#: Copies of one item numbered in one go.
+_COPIES = 4096
+
+
 class Shard:
     """The open bins of a shard: per remaining size, bitmap of sources -> bins with it."""
 
@@ -107,7 +111,12 @@ def best_fit_packing(items: DataFrame, bins: Bins = Bins()) -> DataFrame:
     shards = max(1, -(-items.count() // bins.shard_rows))
     code = [F.when(F.col(c).isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64(c).bitwiseAND(F.lit((1 << 62) - 1))).alias(c) for c in ("source", "cluster")]
     dealt = items.select(F.col("doc_id").cast("long"), F.coalesce(F.col("n_words").cast("long"), F.lit(0).cast("long")).alias("n_words"), *code)
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_words", "cluster"), F.lit(shards)))
+    # rows that repeat an item are numbered, a few thousand at a time, and dealt like any other
+    many = dealt.groupBy("doc_id", "n_words", "source", "cluster").agg(F.count("*").alias("copies"))
+    parts = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _COPIES))))
+    first = F.col("part") * _COPIES
+    dealt = parts.withColumn("copy", F.explode(F.sequence(first, F.least(first + _COPIES, F.col("copies")) - 1))).drop("part", "copies")
+    dealt = store(dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_words", "cluster", "copy"), F.lit(shards))))
     parts = min(shards, shuffle_partitions(spark))
     rows = dealt.where("n_words > 0").repartition(parts, "shard").sortWithinPartitions("shard", "doc_id")
     capacity = bins.capacity
