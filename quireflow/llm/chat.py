@@ -18,7 +18,7 @@ from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.common import discard, shuffle_partitions, store, whole_groups
@@ -31,8 +31,10 @@ _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null":
 
 
 def canonical(value: Any) -> str:
-    """JSON with sorted keys, no spaces, all characters as they are; lone surrogates and NaN are not JSON."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces, all characters as they are; a ValueError for lone surrogates and NaN, which are not JSON."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    out.encode()
+    return out
 
 
 def violations(value: Any, schema: Mapping[str, Any], at: str = "$") -> list[str]:
@@ -103,10 +105,12 @@ def message_json(role: str | None, text: str | None, schemas: Mapping[str, Any])
                     bad.append(f"{call.get('id')}: unknown tool")
                 calls.append({"id": call.get("id"), "type": "function", "function": {"name": name, "arguments": args}})
             body = {"role": role, "content": said.get("content"), "tool_calls": calls}
+    bad = [x.encode("utf-8", "replace").decode() for x in bad]
     try:
         return canonical(body), bad
-    except ValueError:  # a number that JSON has no form for
-        return canonical({"role": role, "content": text}), [*bad, "message: not finite"]
+    except (ValueError, RecursionError) as e:  # what JSON has no form for: the text as it stands
+        why = "not Unicode" if isinstance(e, UnicodeError) else "not finite" if isinstance(e, ValueError) else "too deep"
+        return canonical({"role": role, "content": text}), [*bad, f"message: {why}"]
 
 
 def chat_format(messages: DataFrame, schemas: Mapping[str, Any] | None = None, max_depth: int = 64) -> DataFrame:
@@ -119,7 +123,8 @@ def chat_format(messages: DataFrame, schemas: Mapping[str, Any] | None = None, m
     duplicate_result, cycle and the breaks of ``schemas`` (by tool name; none:
     arguments are not checked). Of several calls or results of one id the
     first by turn counts; messages that wait for each other keep their turn and
-    are all marked cycle. Links that still move messages after ``max_depth``
+    are all marked cycle. A message that JSON has no form for (a lone surrogate,
+    an infinite number) has its text as content and a problem says so. Links that still move messages after ``max_depth``
     rounds are placed a component at a time, in linear time. Nulls: a null
     turn sorts first, a null text is null content, a null conv_id or id links
     with nothing. Rows equal in all four columns are one message for linking and
@@ -132,15 +137,16 @@ def chat_format(messages: DataFrame, schemas: Mapping[str, Any] | None = None, m
     calls = tools.where("role = 'assistant'").select("conv_id", "turn", "msg", F.posexplode("j.tool_calls").alias("nth", "c"))
     calls = calls.select("conv_id", "turn", "msg", F.col("c.id").alias("call_id"), "nth", F.col("c.depends_on").alias("needs"))
     results = tools.where("role = 'tool'").select("conv_id", "turn", "msg", F.col("j.tool_call_id").alias("call_id")).where("call_id is not null")
-    of_id = Window.partitionBy("conv_id", "call_id")
-    calls = calls.withColumn("call_rank", F.row_number().over(of_id.orderBy("turn", "msg", "nth")))
-    results = results.withColumn("result_rank", F.row_number().over(of_id.orderBy("turn", "msg")))
-    first_calls = calls.where("call_rank = 1 and call_id is not null").select("conv_id", "call_id", F.col("msg").alias("call_msg"))
-    first_results = results.where("result_rank = 1").select("conv_id", "call_id", F.col("msg").alias("result_msg"))
-    call_state = calls.join(first_results, ["conv_id", "call_id"], "left")
-    call_marks = call_state.groupBy("msg").agg(F.count("*").alias("n_calls"), F.min((F.col("result_msg").isNotNull() & (F.col("call_rank") == 1)).cast("int")).alias("all_linked"), F.max((F.col("call_rank") > 1).cast("int")).alias("repeated"))
-    linked_results = results.join(first_calls, ["conv_id", "call_id"], "left")
-    result_marks = linked_results.select("msg", F.col("call_msg").isNotNull().alias("has_call"), (F.col("result_rank") > 1).alias("again"))
+    # the first of an id by an aggregate, so that null or repeated ids never gather in one task
+    of_id = ["conv_id", "call_id"]
+    first_call = calls.where("conv_id is not null and call_id is not null").groupBy(*of_id).agg(F.min(F.struct("turn", "msg", "nth")).alias("first"))
+    first_result = results.where("conv_id is not null").groupBy(*of_id).agg(F.min(F.struct("turn", "msg")).alias("first"))
+    first_calls = first_call.select(*of_id, F.col("first").alias("first_call"), F.col("first.msg").alias("call_msg"))
+    first_results = first_result.select(*of_id, F.col("first").alias("first_result"), F.col("first.msg").alias("result_msg"))
+    call_state = calls.join(first_results, of_id, "left").join(first_calls, of_id, "left").withColumn("again", ~F.col("first_call").eqNullSafe(F.struct("turn", "msg", "nth")) & F.col("first_call").isNotNull())
+    call_marks = call_state.groupBy("msg").agg(F.count("*").alias("n_calls"), F.min((F.col("result_msg").isNotNull() & ~F.col("again")).cast("int")).alias("all_linked"), F.max(F.col("again").cast("int")).alias("repeated"))
+    linked_results = results.join(first_calls, of_id, "left").join(first_results, of_id, "left")
+    result_marks = linked_results.select("msg", F.col("call_msg").isNotNull().alias("has_call"), (~F.col("first_result").eqNullSafe(F.struct("turn", "msg")) & F.col("first_result").isNotNull()).alias("again"))
 
     after_call = linked_results.where("call_msg is not null").select(F.col("call_msg").alias("before"), F.col("msg").alias("after"))
     needs = calls.select("conv_id", F.col("msg").alias("after"), F.explode("needs").alias("call_id")).join(first_results, ["conv_id", "call_id"]).select(F.col("result_msg").alias("before"), "after")

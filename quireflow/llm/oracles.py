@@ -41,12 +41,13 @@ FROM m GROUP BY doc_id
 
 
 def _op7() -> str:
-    from quireflow.llm.quality import SIGNALS, Risk
+    from quireflow.llm.quality import LEVELS, SIGNALS, Risk
 
-    risk, n = Risk(), len(SIGNALS)
+    risk = Risk()
     grid = ", ".join(f"('{s}', {r}, CAST({float(c)} AS DOUBLE))" for s, cs in SIGNALS.items() for r, c in enumerate(cs))
     value = "CASE signal " + " ".join(f"WHEN '{s}' THEN {s}" for s in SIGNALS) + " END"
-    share = risk.max_rate / n
+    over = " OR ".join(f"coalesce({s} > max_{s}, false)" for s in SIGNALS)
+    limits = ", ".join(f"min(cutoff) FILTER (signal = '{s}') AS max_{s}" for s in SIGNALS)
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS MATERIALIZED (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
@@ -64,17 +65,17 @@ v AS MATERIALIZED (SELECT *, n_words < {risk.min_words} OR 100 * n_repeat_words
   n_dup_lines / greatest(n_lines, 1) AS dup_line_rate, n_marks / greatest(n_words, 1) AS mark_rate FROM m),
 grid(signal, rank, cutoff) AS (VALUES {grid}),
 known AS (SELECT v.*, q.quality, left(md5(CAST(v.doc_id AS VARCHAR)), 1) < '8' AS holdout FROM v JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1)) q ON q.doc_id = v.doc_id WHERE NOT base_failed),
-cells AS (SELECT stratum, signal, rank, cutoff, count(*) FILTER (quality = 1 AND holdout AND o) AS k, count(*) FILTER (quality = 1 AND holdout) AS n,
-  count(*) FILTER (quality = 1 AND NOT holdout AND o) AS fg, count(*) FILTER (quality = 1 AND NOT holdout) AS fgn,
-  count(*) FILTER (quality = 0 AND NOT holdout AND o) AS fb, count(*) FILTER (quality = 0 AND NOT holdout) AS fbn
-  FROM (SELECT *, {value} > cutoff AS o FROM known, grid) GROUP BY ALL),
-tested AS (SELECT *, k <= {share} * n AND list_sum(list_transform(range(0, CAST(least(k, {share} * n) AS BIGINT) + 1),
-  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))) <= {risk.error} / {n} / (SELECT count(DISTINCT stratum) FROM cells) AS passes FROM cells),
-seq AS (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, signal ORDER BY rank) AS open FROM tested),
-lim AS (SELECT stratum, signal, min(cutoff) AS cutoff FROM seq WHERE open AND fb * greatest(fgn, 1) > fg * greatest(fbn, 1) GROUP BY 1, 2),
-bad AS (SELECT DISTINCT v.doc_id FROM v JOIN lim USING (stratum) WHERE {value} > cutoff)
-SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
-FROM v LEFT JOIN bad ON bad.doc_id = v.doc_id
+cells AS (SELECT stratum, signal, rank, cutoff, count(*) FILTER (quality = 1 AND o) AS fg, count(*) FILTER (quality = 1) AS fgn, count(*) FILTER (quality = 0 AND o) AS fb, count(*) FILTER (quality = 0) AS fbn
+  FROM (SELECT *, {value} > cutoff AS o FROM known, grid WHERE NOT holdout) GROUP BY ALL),
+nom AS (SELECT stratum, signal, cutoff, unnest(range(rank, {LEVELS})) AS level FROM cells WHERE fb * greatest(fgn, 1) > {risk.lift} * fg * greatest(fbn, 1)),
+lev AS MATERIALIZED (SELECT stratum, level, {limits} FROM nom GROUP BY 1, 2),
+tried AS (SELECT stratum, level, count(*) FILTER ({over}) AS k, count(*) AS n FROM known JOIN lev USING (stratum) WHERE holdout AND quality = 1 GROUP BY 1, 2),
+tested AS (SELECT *, k <= {risk.max_rate} * n AND list_sum(list_transform(range(0, CAST(least(k, {risk.max_rate} * n) AS BIGINT) + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk.max_rate}) + (n - j) * ln(1 - {risk.max_rate})))) <= {risk.error} / (SELECT count(DISTINCT stratum) FROM lev) AS passes FROM tried),
+seq AS (SELECT *, bool_and(passes) OVER (PARTITION BY stratum ORDER BY level) AS open FROM tested),
+lim AS (SELECT lev.* FROM lev JOIN (SELECT stratum, max(level) AS level FROM seq WHERE open GROUP BY 1) USING (stratum, level))
+SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept
+FROM v LEFT JOIN lim ON lim.stratum = v.stratum
 """
 
 
@@ -92,3 +93,13 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN comp ON comp.node = vec_id
 """
 
 ORACLES |= {"op2_embedding_near_dedup": _OP2}
+
+_OP9 = """
+WITH m AS (SELECT conv_id, turn, 4 * turn AS t, role, text, conv_id || '-' || turn AS id FROM conversations), u AS (SELECT * FROM m WHERE role = 'user')
+SELECT conv_id, t AS turn, t AS order_turn, 0 AS order_depth, role, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || to_json(role) || '}' AS message, CAST(0 AS BIGINT) AS n_calls, CAST(NULL AS BOOLEAN) AS linked, '' AS problems FROM m
+UNION ALL SELECT conv_id, t + 1, t + 1, 0, 'assistant', '{"content":null,"role":"assistant","tool_calls":[{"function":{"arguments":{"query":' || to_json(text) || ',"turn":' || turn || '},"name":"search"},"id":"' || id || '","type":"function"}]}', 1, true,
+  CASE WHEN turn > 4 THEN id || ': $.turn: over maximum' ELSE '' END FROM u
+UNION ALL SELECT conv_id, CASE WHEN turn % 3 = 2 THEN t - 1 ELSE t + 2 END, CASE WHEN turn % 3 = 2 THEN t + 1 ELSE t + 2 END, CASE WHEN turn % 3 = 2 THEN 1 ELSE 0 END, 'tool', '{"content":' || to_json(text) || ',"role":"tool","tool_call_id":"' || id || '"}', 0, true, '' FROM u
+"""
+
+ORACLES |= {"op9_chat_formatting": _OP9}

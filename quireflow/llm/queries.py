@@ -25,7 +25,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_spans(table(spark, sf_dir, "documents")).drop("text_hash")
+    return duplicate_spans(table(spark, sf_dir, "documents"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,28 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(packing_items(table(spark, sf_dir, "documents")))
 
 
+#: The tool of the derived turns; its schema rejects late turns.
+SEARCH = {"search": {"type": "object", "required": ["query", "turn"], "additionalProperties": False, "properties": {"query": {"type": "string"}, "turn": {"type": "integer", "maximum": 4}}}}
+
+
+def tool_turns(messages: DataFrame) -> DataFrame:
+    """``messages`` at every fourth turn, and a call and its result derived from every user message, as the table has no tools.
+
+    The call of a turn depends on the result two turns before; the result of every third turn stands before its call.
+    """
+    turn, call_id = F.col("turn"), F.concat_ws("-", "conv_id", "turn")
+    base = messages.select("conv_id", (turn * 4).alias("turn"), "role", "text")
+    user = messages.where("role = 'user'")
+    call = F.struct(call_id.alias("id"), F.lit("search").alias("name"), F.to_json(F.struct(F.col("text").alias("query"), "turn")).alias("arguments"), F.array(F.concat_ws("-", F.col("conv_id"), turn - 2)).alias("depends_on"))
+    calls = user.select("conv_id", (turn * 4 + 1).alias("turn"), F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    results = user.select("conv_id", (turn * 4 + F.when(turn % 3 == 2, -1).otherwise(2)).alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(call_id.alias("tool_call_id"), F.col("text").alias("content"))).alias("text"))
+    return base.union(calls).union(results)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format(table(spark, sf_dir, "conversations"))
+    """All messages of the table, and the tool calls and results derived from them."""
+    out = chat_format(tool_turns(table(spark, sf_dir, "conversations")), SEARCH)
+    return out.withColumn("problems", F.array_join("problems", "; "))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
