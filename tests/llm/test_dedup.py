@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 
 from quireflow.llm import shingles as S
-from quireflow.llm.line_dedup import line_dedup
+from quireflow.llm.line_dedup import line_dedup, without_lines
 from quireflow.llm.ngram_join import Forest, estimated_recall, ngram_jaccard_join
 from quireflow.llm.substring_dedup import cut, duplicate_spans, minima, remove_spans
-from quireflow.llm.vectors import vector_near_dedup
+from quireflow.llm.vectors import Descent, vector_near_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, group string, node string, n_lines int"
 
@@ -193,3 +193,94 @@ def test_edited_passages_are_removed_whole(spark, size, edits):
         assert r.start_word >= 100 and r.end_word <= 100 + size
         gone[r.doc_id] += r.end_word - r.start_word
     assert sum(gone.values()) >= 0.95 * size * len(gone)
+
+
+@pytest.mark.parametrize("window", [2, 12, 20, 35])
+def test_minima_of_every_length(window):
+    """Texts of 0 to 80 words, alone in a chunk: no crash, and exact copies share all minima."""
+    rng = np.random.default_rng(window)
+    for n in range(81):
+        sh = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        got = minima(sh, np.array([0, n]), window)
+        assert (len(got) > 0) == (n > 0)
+        expect = {i + int(sh[i : i + window].argmin()) for i in range(max(1, n - window + 1))} if n else set()
+        assert set(got.tolist()) == expect
+
+
+def test_short_copies_alone_in_a_partition(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in (1, 5, 10, 15, 16, 17, 19, 23, 30, 48):
+        text = " ".join(words(rng, n, 10**6))
+        rows += [(2 * n, text), (2 * n + 1, text.upper())]
+    df = frame(spark, rows).repartition(len(rows))
+    hit = {r.doc_id: r for r in duplicate_spans(df).collect()}
+    assert set(hit) == {2 * n + 1 for n in (16, 17, 19, 23, 30, 48)}
+    assert all((r.start_word, r.end_word, r.kept_doc_id) == (0, i // 2, i - 1) for i, r in hit.items())
+    # equal rows are one document, and rows of one doc_id are told apart
+    again = frame(spark, [*rows[-2:], *rows[-2:], (rows[-1][0], "another text")])
+    assert [(r.doc_id, r.end_word) for r in duplicate_spans(again).collect()] == [(97, 48)]
+    assert sorted(str(r.text) for r in remove_spans(again, duplicate_spans(again)).collect()) == sorted(["", "", "another text", rows[-2][1], rows[-2][1]])
+
+
+@pytest.mark.parametrize("size,edits,least", [(20, 0, 0.9), (24, 0, 1.0), (40, 0, 1.0), (60, 1, 1.0), (100, 2, 1.0), (200, 4, 1.0)])
+def test_recall_of_passages(spark, size, edits, least):
+    """Passages of Jaccard >= 0.8 between 100 words of other text on each side: the share of pairs found."""
+    rng = random.Random(size)
+    rows = []
+    for k in range(100):
+        passage = words(rng, size, 10**6)
+        for copy in range(2):
+            v = list(passage)
+            for e in range(edits * copy):
+                v[(e + 1) * size // (edits + 1)] = f"z{rng.randrange(10**9)}"
+            rows.append((2 * k + copy, " ".join(words(rng, 100, 10**6) + v + words(rng, 100, 10**6))))
+    found = {r.doc_id for r in duplicate_spans(frame(spark, rows)).collect()}
+    assert len(found) >= least * 100 and all(i % 2 for i in found)
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.01])
+def test_two_saturated_groups_find_each_other(spark, noise):
+    """Groups of 30 near or exact copies at cosine 0.93: every vector's nearest are its own group's."""
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal(32)
+    a /= np.linalg.norm(a)
+    b = rng.standard_normal(32)
+    b -= a * (a @ b)
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * b / np.linalg.norm(b)
+    v = np.concatenate([np.tile(x, (30, 1)) for x in (a, b)]) + noise * rng.standard_normal((60, 32)) / 32**0.5
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([v, rng.standard_normal((200, 32))]))]
+    got = {r.vec_id: r for r in vector_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in range(60)] == [59] * 60
+    assert {got[i].component_id for i in range(60)} == {0} and sum(got[i].kept for i in range(60)) == 1
+
+
+def test_vectors_many_copies_and_tables(spark):
+    """One vector in a third of the rows; the tables grow with the bits."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1000)] + [(1000 + i, x.tolist()) for i, x in enumerate(rng.standard_normal((50, 4)))] + [(7, [1.0, 2.0, 3.0, 4.0])]
+    got = vector_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    u = np.array([x for _, x in rows[1000:1050]])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    extra = int((u @ (np.array([1.0, 2.0, 3.0, 4.0]) / 30**0.5) >= 0.9).sum())
+    assert len(got) == len(rows) and {r.n_links for r in got if r.vec_id < 1000} == {999 + extra}
+    p = Descent()
+    assert 50 < p.tables(14) < p.tables(20) < p.tables(30) < 1500
+
+
+def test_lines_with_clashing_columns(spark):
+    line = "this is one long line which all of the documents have in common"
+    schema = "doc_id long, text string, n_lines int, kept_text string, n_dropped int, words string, row string, `a.b` int"
+    df = spark.createDataFrame([(i, f"own {i}\n{line}", 7, "k", 8, "w", "r", 9) for i in range(6)] + [(None, None, 7, "k", 8, "w", "r", 9)], schema)
+    out = without_lines(df)
+    assert out.schema == df.schema
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].text == "own 0" and got[5].text.endswith(line) and got[None].text is None
+    assert all(tuple(r)[2:] == (7, "k", 8, "w", "r", 9) for r in got.values())
+
+
+def test_hot_line_of_many_documents(spark):
+    line = "this is one long line which nearly all of the documents have in common"
+    rows = [(i, line) for i in range(3000)] + [(i, line) for i in range(5)]
+    got = line_dedup(frame(spark, rows)).groupBy("n_dropped").count().collect()
+    assert {r.n_dropped: r["count"] for r in got} == {1: 3004, 0: 1}

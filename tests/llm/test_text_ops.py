@@ -2,9 +2,11 @@
 
 import json
 import random
+import time
 from collections import Counter, defaultdict
 from math import comb
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 from quireflow.llm.chat import canonical, chat_format, violations
 from quireflow.llm.html_text import Boilerplate, blocks, html_text, shared_runs
 from quireflow.llm.language_id import language_id
+from quireflow.llm.oracles import ORACLES
 from quireflow.llm.packing import Bins, best_fit_packing, pack_shard
 from quireflow.llm.pieces import Batch, Lattice, Sampling, Vocabulary, decode, piece_ids, sample_pieces, top_k
+from quireflow.llm.queries import QUERIES
 from quireflow.llm.quality import Risk, log_binomial_cdf, measures, quality_rules
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -301,3 +305,109 @@ def test_html_text_does_not_depend_on_shards(spark):
     whole, cut = ({r.page_id: r.text for r in html_text(df, Boilerplate(shard_pages=n)).collect()} for n in (256, 8))
     assert whole == cut and len(cut) == len(rows)
     assert not any("x" in cut[i] for i in range(60)) and cut[100] == copy
+
+
+def test_array_decides_and_markup_follows(spark):
+    """Without markup the array finds menus and notices; switched off, they stay. Markup takes what repeats nowhere."""
+    rng = random.Random(13)
+
+    def own(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    menu = "".join(f"<li>{x}</li>" for x in ("Home", "News", "Sport", "Contact"))
+    rows = []
+    for i in range(12):
+        body = own(40)
+        rows.append((i, f"http://h.example/{i}", f"<body><ul>{menu}</ul><div>{body}</div><div>Copyright of the site and of all its owners for ever</div><div class='ad'>{own(5)}</div></body>", body))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text(df).collect()}
+    off = {r.page_id: r for r in html_text(df, Boilerplate(pages=10**6, template_pages=10**6)).collect()}
+    for i, _, _, body in rows:
+        assert got[i].text == body and (got[i].n_by_array, got[i].n_by_markup) == (5, 1)
+        assert "Home" in off[i].text and off[i].n_by_array == 0
+
+
+def test_teasers_names_and_notices_in_articles(spark):
+    rng = random.Random(14)
+
+    def own(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    teaser, body, section, work = own(10), own(60), own(30), own(20)
+    rows = [(0, "http://a.example/0", f"<article><p>{teaser}</p></article><div><p>{body}</p></div>", f"{teaser}\n{body}")]
+    rows.append((1, "http://b.example/1", f"<article><section class='search-algorithms'>{section}</section><div class='related-work'>{work}</div><article class='comment'>{own(9)}</article></article>", f"{section}\n{work}"))
+    notice = "Subscribe to the letter that we send to all of our readers"
+    for i in range(10, 16):
+        text = own(40)
+        rows.append((i, f"http://c.example/{i}", f"<article><p>{text}</p><p>{notice}</p></article>", text))
+    got = {r.page_id: r.text for r in html_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+def test_html_text_of_large_hosts_and_many_copies(spark):
+    """A host of 5,000 pages in 20 shards, one page of which stands in a third of the rows."""
+    rows = [(i, f"http://h.example/{i}", f"<body><p>{' '.join(f'x{i}y{k}' for k in range(12))}</p><p>{' '.join(f'p{i % 1000}x{k}' for k in range(10))}</p></body>") for i in range(3000)]
+    rows += [(10000 + i, "http://h.example/copy", "<body><p>one page which is here many times over and over again</p></body>") for i in range(2000)]
+    got = {r.page_id: r.text for r in html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 5000 and all(got[i] == " ".join(f"x{i}y{k}" for k in range(12)) for i in range(3000))
+    assert {got[i] for i in range(10000, 12000)} == {"one page which is here many times over and over again"}
+
+
+def test_blocks_take_linear_time():
+    for make in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<p><b>x" * n, lambda n: "<a title='x>" * n):
+        began = time.perf_counter()
+        blocks(make(30000))
+        assert time.perf_counter() - began < 20
+
+
+def test_messages_that_are_not_unicode(spark):
+    text = '{"tool_call_id": "a", "content": "\\ud800"}'
+    calls = '{"tool_calls": [{"id": "\\ud800", "name": "f", "arguments": {"\\udfff": 1}}, {"id": null, "name": "f"}, {"id": null, "name": "f"}]}'
+    df = spark.createDataFrame([(1, 0, "tool", text), (1, 1, "assistant", calls), (None, None, None, None), (1, 2, "user", "[" * 5000)], "conv_id long, turn int, role string, text string")
+    got = {r.turn: r for r in chat_format(df, {"f": {"additionalProperties": False}}).collect()}
+    assert json.loads(got[0].message) == {"role": "tool", "content": text} and "message: not Unicode" in got[0].problems
+    assert json.loads(got[1].message)["content"] == calls and got[1].n_calls == 3 and "duplicate_call" not in got[1].problems
+    assert json.loads(got[None].message) == {"content": None, "role": None}
+
+
+def test_rules_certify_on_small_strata(spark):
+    """100 good documents in the certifying half are enough for cutoffs that reject none of them; 60 are not."""
+    rng = random.Random(15)
+    docs, labels = [], []
+    for lang, good in (("big", 260), ("small", 90)):
+        for k in range(good + 120):
+            w = [f"word{rng.randrange(5000)}" for _ in range(80)]
+            docs.append((len(docs), " ".join(x + "###" if k >= good else x for x in w), lang))
+            labels.append((docs[-1][0], int(k < good)))
+    d, q = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules(d, q).collect()}
+    bad = {i for i, x in labels if not x}
+    assert all(got[i].kept == (i not in bad) for i, _, lang in docs if lang == "big")
+    assert all(got[i].kept for i, _, lang in docs if lang == "small")
+
+
+def test_rules_equal_their_sql_where_cutoffs_are_certified(spark, tmp_path):
+    rng = random.Random(16)
+    docs, labels = [], []
+    for i in range(1500):
+        w = [f"word{rng.randrange(5000)}" for _ in range(80)]
+        for _ in range(rng.choice([0, 0, 0, 1, 5, 30])):
+            w[rng.randrange(80)] += rng.choice(["###", "!", "ABC", "$"])
+        docs.append((i, " ".join(w), rng.choice(["en", "de", None])))
+        labels.append((i, int(sum(x.count("#") for x in w) < 9), 0))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(map(tuple, QUERIES["op7_quality_rules"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(db.execute(ORACLES["op7_quality_rules"]).fetchall())
+    assert 100 < sum(not r[-1] for r in got) < 700 and not any(r[-2] for r in got)
+
+
+def test_packing_deals_repeated_items(spark):
+    rows = [(1, 100, "s", "c")] * 9000 + [(i, 50, f"s{i % 7}", None) for i in range(2, 500)]
+    got = best_fit_packing(spark.createDataFrame(rows, "doc_id long, n_words long, source string, cluster string"), Bins(shard_rows=1000)).collect()
+    assert len(got) == len(rows)
+    assert len({r.bin_id for r in got if r.doc_id == 1}) == 9000
+    assert len({r.bin_id >> 32 for r in got if r.doc_id == 1}) > 5
