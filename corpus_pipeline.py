@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm.common import store, table
-from quireflow.llm.line_dedup import keep_bitmaps, with_kept_text
+from quireflow.llm.line_dedup import without_lines
 from quireflow.llm.ngram_join import ngram_jaccard_join
 from quireflow.llm.packing import best_fit_packing, packing_items
 from quireflow.llm.quality import kept_documents
@@ -31,8 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that line dedup drops."""
-    marked = with_kept_text(docs, keep_bitmaps(docs))
-    return _recounted(marked.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))), docs.columns)
+    return _recounted(without_lines(docs), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
