@@ -467,8 +467,9 @@ def html_text(pages: DataFrame, b: Boilerplate = Boilerplate()) -> DataFrame:
         texts = shard_texts([unpacked(x) for x in part.column("blocks").to_pylist()], b, of_host=(keys[order], totals[order].astype(np.int64), part.column("distinct")[0].as_py())) if part.num_rows else []
         return pa.table(answer(part, texts), names=names)
 
-    single = dealt.where("not part and barrier >= 0").select("host", "shard", "page_id", "url", "blocks").sortWithinPartitions("host", "shard").mapInArrow(alone, schema)
-    many = dealt.where("part and barrier >= 0").select("host", "shard", "page_id", "url", "blocks", "distinct", "shards")
+    columns = ["host", "shard", "page_id", "url", "blocks", "distinct", "shards"]  # the same everywhere, or the exchange is another one
+    single = dealt.where("not part and barrier >= 0").select(*columns).sortWithinPartitions("host", "shard").mapInArrow(alone, schema)
+    many = dealt.where("part and barrier >= 0").select(*columns)
     entries = many.sortWithinPartitions("host", "shard").mapInArrow(counted, "host long, bucket long, shard long, keys binary, totals binary")
     shared = entries.repartition(n, "host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(summed, "host long, shard long, keys binary, totals binary")
     parts = many.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInArrow(together, schema)
