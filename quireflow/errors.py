@@ -23,6 +23,22 @@ class InvalidBookError(QuireError):
     code = "invalid-book"
 
 
+class BrokenInputError(QuireError):
+    code = "malformed"
+
+
+class EncryptedError(QuireError):
+    code = "encrypted"
+
+
+class UnreadableError(QuireError):
+    code = "io"
+
+
+class MissingAssetError(QuireError):
+    code = "missing-asset"
+
+
 def check_limit(name: str, value: float, maximum: float) -> None:
     """Raises above a fixed maximum [F19]."""
     if value > maximum:

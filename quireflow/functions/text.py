@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quireflow import params as P
 
-
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+#: White space as Unicode has it, and U+001C-001F, for a character class; fixed values. Java's (?U) classes are slower.
+SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The same characters one by one.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 #: The characters up to U+00FF that composition changes; the others there stay, and none combines with another.
@@ -22,19 +18,22 @@ UNSTABLE_LATIN = "[\u00a0\u00a8\u00aa\u00af\u00b2-\u00b5\u00b8-\u00ba\u00bc-\u00
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; only texts that it can change are sent to Python: none of ASCII and few of Latin ones."""
+    """Compatibility composition (NFKC) by the ICU library that Spark brings, for texts that it can change: none of ASCII and few of Latin ones.
+
+    Spark takes reflection for nondeterministic: use the result as a column, not inside an aggregate or a join condition.
+    """
     may = (F.octet_length(text) > F.char_length(text)) & (text.rlike("[^\u0000-\u00ff]") | text.rlike(UNSTABLE_LATIN))
-    return F.coalesce(_nfkc(F.when(may, text)), text)
+    return F.when(may, F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))).otherwise(text)
 
 
 def strip(text: Column) -> Column:
     """Without Unicode white space (and U+001C-001F) at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
     """Number of white-space separated words."""
-    return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
 
 
 def normalize(text: Column, keep_diacritics: bool = True, compose: bool = True) -> Column:
@@ -52,7 +51,12 @@ def fuzzy_key(text: Column, compose: bool = True) -> Column:
 
 def coverage_chars(text: Column, compose: bool = True) -> Column:
     """Characters that count for coverage [T03]."""
-    return F.char_length(F.regexp_replace(normalize(text, False, compose), r"(?U)[\s\x1c-\x1f]+", "")).cast("long")
+    return coverage_of(nfkc(text) if compose else text)
+
+
+def coverage_of(norm: Column) -> Column:
+    """``coverage_chars`` of a text that is composed already: its characters without tatweel, marks and white space."""
+    return F.char_length(F.regexp_replace(norm, f"[{SPACE}{P.TATWEEL}{P.DIACRITICS[1:-1]}]+", "")).cast("long")
 
 
 def arabic_ratio(text: Column) -> Column:
@@ -64,7 +68,7 @@ def arabic_ratio(text: Column) -> Column:
 
 def bad_glyph_ratio(text: Column) -> Column:
     """Replacement and private-use characters over visible ones [T05]."""
-    visible = F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]"))
+    visible = F.char_length(F.regexp_replace(text, f"[{SPACE}]+", ""))
     bad = F.regexp_count(text, F.lit(r"[\x{FFFD}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"))
     return F.when(visible > 0, bad / visible).otherwise(F.lit(0.0))
 

@@ -104,6 +104,28 @@ def split_giants(elements: DataFrame, most: int = P.MAX_CHAPTER_WEIGHT, target:
     return elements.join(at, ["book_id", "chapter_no", "elem_no"], "left").withColumn("part_no", F.coalesce("part_no", F.lit(0)))
 
 
+def with_split_giants(elements: DataFrame, chapters_: DataFrame, most: int = P.MAX_CHAPTER_WEIGHT, target: int = P.TARGET_CHAPTER_WEIGHT) -> tuple[DataFrame, DataFrame]:
+    """Elements and chapters renumbered after giant chapters are cut [W14]: the k-th part of a chapter, from the second on, has `` (k)`` behind its title."""
+    parts = split_giants(elements, most, target)
+    order = Window.partitionBy("book_id").orderBy("chapter_no", "part_no")
+    numbers = parts.groupBy("book_id", "chapter_no", "part_no").agg(F.sum(weight(F.col("kind"), F.col("text"))).alias("weight"), F.count("*").alias("n_elements"))
+    numbers = numbers.withColumn("new_no", (F.row_number().over(order) - 1).cast("int"))
+    title = F.when(F.col("part_no") == 0, F.col("title")).otherwise(F.concat("title", F.lit(" ("), F.col("part_no") + 1, F.lit(")")))
+    heads = numbers.join(chapters_.select("book_id", "chapter_no", "title"), ["book_id", "chapter_no"])
+    heads = heads.select("book_id", F.col("new_no").alias("chapter_no"), title.alias("title"), "weight", "n_elements")
+    rows = parts.join(numbers.select("book_id", "chapter_no", "part_no", "new_no"), ["book_id", "chapter_no", "part_no"])
+    nth = F.row_number().over(Window.partitionBy("book_id", "new_no").orderBy("elem_no")) - 1
+    rows = rows.withColumn("elem_no", nth).drop("part_no", "chapter_no").withColumnRenamed("new_no", "chapter_no")
+    return rows, heads
+
+
+def with_placeholders(chapters_: DataFrame, books: DataFrame) -> DataFrame:
+    """``chapters`` and one empty chapter for each of the books (book_id, title) that has none, so that no book is lost [C06]."""
+    empty = books.join(chapters_.select("book_id"), "book_id", "left_anti")
+    rows = empty.select("book_id", F.lit(0).alias("chapter_no"), F.coalesce("title", F.lit("")).alias("title"), F.lit(0).cast("long").alias("weight"), F.lit(0).cast("long").alias("n_elements"))
+    return chapters_.unionByName(rows, allowMissingColumns=True)
+
+
 def references(elements: DataFrame) -> DataFrame:
     """(book_id, chapter_no, elem_no, pos, note_id, resolved, is_first) of every reference in the text [J05]: found notes of the chapter, the first citation of each."""
     notes = elements.where("kind = 'footnote'").select("book_id", "chapter_no", "note_id").distinct().withColumn("resolved", F.lit(True))

@@ -7,15 +7,39 @@ from pyspark.sql import functions as F
 
 from quireflow import params as P
 from quireflow.functions import text as T
+from quireflow.stages import stage
 
 PAGE = ("book_id", "page_no")
 
 
-def document_lines(docs: DataFrame, book: Column | str = "source", order: Column | str = "doc_id", text: Column | str = "text") -> DataFrame:
-    """(book_id, page_no, line_no, text): a document as a page of the book ``book``, ranked by ``order``."""
-    pages = docs.select(F.col(book).alias("book_id") if isinstance(book, str) else book.alias("book_id"), F.col(order).alias("o") if isinstance(order, str) else order.alias("o"), F.col(text).alias("t") if isinstance(text, str) else text.alias("t"))
-    ranked = pages.withColumn("page_no", F.row_number().over(Window.partitionBy("book_id").orderBy("o")) - 1)
-    return ranked.select("book_id", "page_no", F.posexplode(F.split(F.coalesce("t", F.lit("")), "\n", -1)).alias("line_no", "text"))
+def page_numbers(docs: DataFrame, book: str = "source", order: str = "doc_id") -> DataFrame:
+    """(book_id, at, page_no): the rank of every document in its book by ``order``, from 0.
+
+    Ranks are made from the two narrow columns alone, by range: rows are counted
+    range by range and numbered inside each, so that no book is sorted in one
+    task and no text is moved. Documents equal in both columns share a page.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = docs.select(F.col(book).alias("book_id"), F.col(order).alias("at")).distinct()
+    parts = stage(keys.repartitionByRange(n, "book_id", "at").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("book_id", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("book_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("book_id").alias("b"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("book_id", "part").orderBy("at"))
+    ranked = parts.withColumn("nth", nth).join(offsets, F.col("book_id").eqNullSafe(F.col("b")) & (F.col("part") == F.col("p")))
+    return ranked.select("book_id", "at", (F.col("before") + F.col("nth") - 1).cast("int").alias("page_no"))
+
+
+def document_pages(docs: DataFrame, book: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
+    """(book_id, page_no, ``order``, text): a document as a page of the book ``book``, ranked by ``order``; a null text is empty."""
+    numbers = page_numbers(docs, book, order).select(F.col("book_id").alias("b"), F.col("at").alias("a"), "page_no")
+    pages = docs.select(F.col(book).alias("book_id"), F.col(order), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return pages.join(numbers, F.col("book_id").eqNullSafe(F.col("b")) & F.col(order).eqNullSafe(F.col("a"))).select("book_id", "page_no", order, "text")
+
+
+def document_lines(docs: DataFrame, book: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
+    """(book_id, page_no, line_no, text): the lines of ``document_pages``."""
+    return document_pages(docs, book, order, text).select("book_id", "page_no", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
 
 
 def visible(lines: DataFrame) -> DataFrame:
@@ -40,9 +64,9 @@ def flagged(lines: DataFrame, script: P.Script = P.ARABIC, patterns: list[str] |
     return out.withColumns({"is_watermark": T.watermark(F.col("norm"), patterns), "is_page_number": T.page_number(F.col("norm")), "is_junk": T.junk(F.col("norm"), F.col("edge"), script)}).withColumn("dropped", F.col("is_watermark") | F.col("is_page_number") | F.col("is_junk"))
 
 
-def char_counts(flags: DataFrame, compose: bool = True) -> DataFrame:
-    """(book_id, page_no, kept_chars, dropped_chars) [A07]."""
-    n = T.coverage_chars(F.col("text"), compose)
+def char_counts(flags: DataFrame) -> DataFrame:
+    """(book_id, page_no, kept_chars, dropped_chars) of flagged lines, counted on their normalized text [A07]."""
+    n = T.coverage_of(F.col("norm"))
     return flags.groupBy(*PAGE).agg(F.sum(F.when(F.col("dropped"), 0).otherwise(n)).alias("kept_chars"), F.sum(F.when(F.col("dropped"), n).otherwise(0)).alias("dropped_chars"))
 
 

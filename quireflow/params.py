@@ -8,44 +8,44 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 # characters
-TATWEEL = "\u0640"
-DIACRITICS = "[\u064b-\u0652\u0670]"
-ARABIC_DIGITS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
+TATWEEL = "ـ"
+DIACRITICS = "[ً-ْٰ]"
+ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 LATIN_DIGITS = "0123456789"
-TERMINAL = ".\u061f!:\u00bb\u06d4"
-ARABIC_OR_DIGIT = "[\u0621-\u064a\u0660-\u0669]"
+TERMINAL = ".؟!:»۔"
+ARABIC_OR_DIGIT = "[ء-ي٠-٩]"
 
 # line filters [F04, F05]
 WATERMARKS = [r"https?://\S+", r"www\.\S+", r"kotob\s*\.?\s*has\s*\.?\s*it", r"noor[\s-]*book"]
-PAGE_NUMBER = "^\\s*[-\u2013\u2014(\\[]?\\s*[0-9\u0660-\u0669]{1,4}\\s*[-\u2013\u2014)\\]]?\\s*$"
+PAGE_NUMBER = "^\\s*[-–—(\\[]?\\s*[0-9٠-٩]{1,4}\\s*[-–—)\\]]?\\s*$"
 
 # headings [F16, T14]
 HEADING_WORDS = ["الباب", "الفصل", "باب", "فصل", "مقدمة", "المقدمة", "تمهيد", "خاتمة", "الخاتمة", "فهرس", "المراجع", "ملحق"]
 HEADING_MAX_WORDS = 8
 
 # lists [T13]
-LIST_ORDERED = "^\\s*[0-9\u0660-\u0669]{1,3}\\s*[.)\\-]\\s+(\\S.*)$"
-LIST_BULLET = "^\\s*[\u2022\u2023\u25e6\u00b7\u2219*\u25cf\u25aa]\\s+(\\S.*)$"
+LIST_ORDERED = "^\\s*[0-9٠-٩]{1,3}\\s*[.)\\-]\\s+(\\S.*)$"
+LIST_BULLET = "^\\s*[•‣◦·∙*●▪]\\s+(\\S.*)$"
 
 # notes [W06, T15]
-NOTE_MARKER = "^\\s*(?:\\(\\s*([0-9\u0660-\u0669]{1,3})\\s*\\)|([0-9\u0660-\u0669]{1,3})\\s*[-\u2013.)]|([\u00b9\u00b2\u00b3\u2070-\u2079]{1,3}))\\s+"
+NOTE_MARKER = "^\\s*(?:\\(\\s*([0-9٠-٩]{1,3})\\s*\\)|([0-9٠-٩]{1,3})\\s*[-–.)]|([¹²³⁰-⁹]{1,3}))\\s+"
 
 # quotations [W08, T11]
 QUOTE_CUE = r"قال\s+(الله\s+)?تعالى|قوله\s+تعالى|قرآن\s+كريم|سورة\s+\S+|عز\s+وجل"
 QUOTE_SOURCE = r"^\s*(قرآن\s+كريم|سورة\s+\S+(\s+آية\s+\S+)?)\s*$"
-QUOTE_BRACKETS = "[\u00ab\ufd3f]([^\u00ab\u00bb\ufd3e\ufd3f]{8,400})[\u00bb\ufd3e]"
+QUOTE_BRACKETS = "[«﴿]([^«»﴾﴿]{8,400})[»﴾]"
 
 # damaged text layers [T07]
-LONE_LAM = "(?:^|\\s)\u0644(?:\\s|$)"
+LONE_LAM = "(?:^|\\s)ل(?:\\s|$)"
 MISPLACED_HAMZA = "[بتثجحخسشصضطظعغفقكمنهي][إأآ]"
 
 # Markdown [T17-T19]
 PAGE_COMMENT = r"^<!--\s*page:(\p{Nd}+)\s*-->$"
 SCAN = r"^!\[[^\]]*\]\((.+)\)$"
-MD_BULLET = "^[-*\u2022\u2023\u25e6\u00b7\u2219\u25cf\u25aa\u066d]\\s+(.*)$"
-MD_ORDERED = "^[0-9\u0660-\u0669]{1,3}\\s*[.)\\-]\\s+(.*)$"
+MD_BULLET = "^[-*•‣◦·∙●▪٭]\\s+(.*)$"
+MD_ORDERED = "^[0-9٠-٩]{1,3}\\s*[.)\\-]\\s+(.*)$"
 MD_NOTE = r"^\[\^([^\]\s]+)\]:\s*(.*)$"
-MD_NEEDS_ESCAPE = "^(#{1,6}\\s|[-*\u2022\u2023\u25e6\u00b7\u2219\u25cf\u25aa\u066d]\\s|[0-9\u0660-\u0669]{1,3}\\s*[.)\\-]\\s|:::|<!--|!\\[|\\[\\^|\\\\)"
+MD_NEEDS_ESCAPE = "^(#{1,6}\\s|[-*•‣◦·∙●▪٭]\\s|[0-9٠-٩]{1,3}\\s*[.)\\-]\\s|:::|<!--|!\\[|\\[\\^|\\\\)"
 
 
 @dataclass(frozen=True)

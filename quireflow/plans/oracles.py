@@ -90,15 +90,15 @@ ORACLES: dict[str, str] = {
     "list_islands": f"""WITH {_lines_sql(_FURNISHED)}, i AS (SELECT *, regexp_matches(text, '^\\s*[0-9٠-٩]{{1,3}}\\s*[.)\\-]\\s+\\S') AS ol, regexp_matches(text, '^\\s*[•‣◦·∙*●▪]\\s+\\S') AS ul FROM l),
  r AS (SELECT *, sum(CASE WHEN ol OR ul THEN 0 ELSE 1 END) OVER (PARTITION BY book_id, page_no ORDER BY line_no) AS run FROM i), c AS (SELECT *, count(*) FILTER (ol OR ul) OVER (PARTITION BY book_id, page_no, run) AS n FROM r)
  SELECT book_id, page_no, line_no, CASE WHEN ol THEN 'ol' ELSE 'ul' END AS kind, regexp_extract(text, '^\\s*(?:[0-9٠-٩]{{1,3}}\\s*[.)\\-]|[•‣◦·∙*●▪])\\s+(\\S.*)$', 1) AS item FROM c WHERE (ol OR ul) AND n >= 2""",
-    "verse_islands": f"""WITH p AS ({_PAGES}), s AS (SELECT book_id, page_no, list_filter(regexp_split_to_array({_ARABIZED}, '[.\\n]'), lambda x: trim(x) <> '') AS v FROM p),
- x AS (SELECT book_id, page_no, unnest(v) AS v, CAST(unnest(range(0, len(v))) AS INTEGER) AS line_no FROM s), t AS (SELECT book_id, page_no, line_no, array_to_string(regexp_split_to_array(trim(v), ' +')[1:7], ' ') || CASE WHEN page_no % 3 = 0 THEN ' سلوان' ELSE '' END AS text FROM x),
+    "verse_islands": f"""WITH p AS ({_PAGES}), s AS (SELECT book_id, page_no, flatten(list_transform(list_filter(regexp_split_to_array({_ARABIZED}, '[.\\n]'), lambda x: trim(x) <> ''), lambda x: list_transform(range(0, (len(regexp_split_to_array(trim(x), ' +')) + 6) // 7), lambda i: array_to_string(regexp_split_to_array(trim(x), ' +')[i * 7 + 1:i * 7 + 7], ' ')))) AS v FROM p),
+ x AS (SELECT book_id, page_no, unnest(v) AS text, CAST(unnest(range(0, len(v))) AS INTEGER) AS line_no FROM s), t AS (SELECT book_id, page_no, line_no, text || CASE WHEN page_no % 3 = 0 THEN ' سلوان' ELSE '' END AS text FROM x),
  c AS (SELECT *, {_WORDS.format('text')} BETWEEN 3 AND 16 AND NOT regexp_matches(trim(text), '[.؟!:»۔]$') AS cand, regexp_replace(text, '[^\\x{{0621}}-\\x{{064A}}]+$', '') AS bare FROM t),
  r AS (SELECT *, sum(CASE WHEN cand THEN 0 ELSE 1 END) OVER (PARTITION BY book_id, page_no ORDER BY line_no) AS run, CASE WHEN length(bare) >= 2 THEN right(bare, 2) END AS rhyme FROM c),
  k AS (SELECT * FROM r WHERE cand), n AS (SELECT *, count(*) OVER (PARTITION BY book_id, page_no, run) AS size, CASE WHEN rhyme IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY book_id, page_no, run, rhyme) END AS same FROM k),
  m AS (SELECT *, max(same) OVER (PARTITION BY book_id, page_no, run) AS top FROM n)
  SELECT book_id, page_no, line_no FROM m WHERE size >= 4 AND top >= greatest(4, round_even(0.7 * size, 0))""",
-    "boundary_merge": f"""WITH RECURSIVE p AS MATERIALIZED ({_PAGES}), s AS (SELECT book_id, page_no, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: CASE WHEN page_no % 6 = 5 THEN x ELSE regexp_replace(left(x, 50), '[.!:]+$', '') END)[1:(CASE WHEN page_no % 3 = 1 THEN 2 ELSE 1 END)] AS t FROM p),
- q AS MATERIALIZED (SELECT book_id, page_no, page_no % 17 = 16 AS img, CASE WHEN page_no % 17 = 16 THEN [] ELSE t END AS t FROM s),
+    "boundary_merge": f"""WITH RECURSIVE p AS MATERIALIZED ({_PAGES}), s AS (SELECT book_id, page_no, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: CASE WHEN page_no % 6 = 5 THEN x ELSE regexp_replace(x, '[.!:]+$', '') END) AS t FROM p),
+ q AS MATERIALIZED (SELECT book_id, page_no, page_no % 17 = 16 AS img, CASE WHEN len(t) = 0 THEN [] WHEN page_no % 3 = 1 AND len(t) > 1 THEN [t[1], array_to_string(t[2:], ' ')] ELSE [array_to_string(t, ' ')] END AS t FROM s),
  j AS MATERIALIZED (SELECT *, len(t) = 1 AS single, coalesce(NOT img AND NOT lag(img) OVER o AND len(t) > 0 AND len(lag(t) OVER o) > 0 AND regexp_matches(rtrim((lag(t) OVER o)[-1]), '[^.؟!:»۔]$'), false) AS c FROM q WINDOW o AS (PARTITION BY book_id ORDER BY page_no)),
  w AS (SELECT book_id, page_no, c AS m, single FROM j WHERE page_no = 0 UNION ALL SELECT j.book_id, j.page_no, j.c AND NOT (w.single AND w.m), j.single FROM w JOIN j ON j.book_id = w.book_id AND j.page_no = w.page_no + 1),
  e AS (SELECT j.book_id, j.page_no, j.t, w.m, lead(w.m) OVER o AS nm, (lead(j.t) OVER o)[1] AS nt FROM j JOIN w ON w.book_id = j.book_id AND w.page_no = j.page_no WINDOW o AS (PARTITION BY j.book_id ORDER BY j.page_no)),
@@ -109,7 +109,7 @@ ORACLES: dict[str, str] = {
  SELECT book_id, page_no, '<!-- page:' || page_no || ' -->' || chr(10) || string_agg(md, chr(10) ORDER BY elem_no) AS markdown FROM y GROUP BY 1, 2""",
     "markdown_roundtrip": f"WITH {_HTML} SELECT book_id, page_no, CAST(row_number() OVER (PARTITION BY book_id, page_no ORDER BY elem_no) - 1 AS INTEGER) AS elem_no, kind, text FROM he",
     "markdown_parse": f"WITH {_HTML} SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_no, elem_no) - 1 AS INTEGER) AS item_no, page_no, kind, text, '' AS note_id FROM he",
-    "front_matter": """WITH t AS (SELECT doc_id, doc_id % 5 = 0 AS open, left(text, 40) AS t FROM documents)
+    "front_matter": """WITH t AS (SELECT doc_id, doc_id % 5 = 0 AS open, coalesce(text, '') AS t FROM documents)
  SELECT doc_id, CASE WHEN NOT open THEN 'book ' || doc_id END AS title, CASE WHEN NOT open THEN 'someone' END AS author, CAST(CASE WHEN open THEN length('---' || chr(10) || 'Title: book ' || doc_id || chr(10) || 'author: ''someone''' || chr(10) || t) ELSE length(t) END AS INTEGER) AS body_chars FROM t""",
     "chapters_every_n": f"WITH {_EVERY} SELECT book_id, chapter_no, 'فصل ' || (chapter_no + 1) AS title, CAST(sum(length(text)) AS BIGINT) AS weight, count(*) AS n_elements FROM k GROUP BY 1, 2",
     "footnote_relocate": f"""WITH p AS ({_PAGES}), m AS (SELECT book_id, max(page_no) AS last FROM p GROUP BY 1),
@@ -131,15 +131,15 @@ ORACLES: dict[str, str] = {
     "ocr_lines": f"""WITH {_WORD_ROWS}, g AS (SELECT book_id, page_no, par_no, row_no, string_agg(text, ' ' ORDER BY word_no) AS text, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, coalesce(avg(conf) FILTER (conf >= 0), 0) AS conf FROM wd GROUP BY 1, 2, 3, 4)
  SELECT book_id, page_no, CAST(row_number() OVER (PARTITION BY book_id, page_no ORDER BY par_no, row_no) - 1 AS INTEGER) AS line_no, text, x, y, w, h, conf FROM g""",
     "ocr_confidence": f"WITH {_WORD_ROWS} SELECT book_id, page_no, coalesce(avg(conf) FILTER (conf >= 0), 0) AS mean_conf, count(*) AS word_count FROM wd GROUP BY 1, 2",
-    "reading_order": f"""WITH {_WORD_ROWS}, o AS (SELECT book_id, page_no, x, row_number() OVER (PARTITION BY book_id, page_no ORDER BY y, x DESC) - 1 AS n FROM wd WHERE word_no < 3) SELECT book_id, page_no, CAST(max(n) AS INTEGER) AS last_line, arg_max(x, n) AS last_x FROM o GROUP BY 1, 2""",
-    "boxed_chars": f"""WITH {_WORD_ROWS}, c AS MATERIALIZED (SELECT * FROM wd WHERE par_no < 2), r AS (SELECT book_id, page_no, par_no * 4 + row_no AS rect_no, min(x) AS rx, min(y) AS ry, max(x + 40) - min(x) AS rw FROM c GROUP BY book_id, page_no, par_no, row_no)
+    "reading_order": f"""WITH {_WORD_ROWS}, o AS (SELECT book_id, page_no, x, row_number() OVER (PARTITION BY book_id, page_no ORDER BY y, x DESC) - 1 AS n FROM wd) SELECT book_id, page_no, CAST(max(n) AS INTEGER) AS last_line, arg_max(x, n) AS last_x FROM o GROUP BY 1, 2""",
+    "boxed_chars": f"""WITH {_WORD_ROWS}, c AS MATERIALIZED (SELECT * FROM wd), r AS (SELECT book_id, page_no, par_no * 4 + row_no AS rect_no, min(x) AS rx, min(y) AS ry, max(x + 40) - min(x) AS rw FROM c GROUP BY book_id, page_no, par_no, row_no)
  SELECT c.book_id, c.page_no, rect_no, median(CAST(h AS DOUBLE)) AS size, avg(CASE WHEN word_no % 3 = 0 THEN 1.0 ELSE 0.0 END) AS bold FROM c JOIN r ON r.book_id = c.book_id AND r.page_no = c.page_no AND x + 2 BETWEEN rx AND rx + rw AND y + 4 BETWEEN ry AND ry + 15 GROUP BY 1, 2, 3""",
     "joined_lines": r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(text, 'e ', 'e-' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''), '␞'), '([A-Za-z])[-‐‑]␞([a-z])', '\1\2', 'g'), '␞', ' ', 'g') AS text FROM documents""",
     "device_pages": f"""WITH p AS ({_PAGES}), d(i, key, width, height) AS (VALUES {', '.join(f"({i}, '{k}', {w}, {h})" for i, (k, _, w, h, _) in enumerate(P.DEVICES))}) SELECT key, width, height, count(*) AS pages FROM p JOIN d ON i = page_no % 5 GROUP BY 1, 2, 3""",
     "heading_tiers": f"WITH {_lines_sql('text')} SELECT book_id, page_no, line_no, 'h2' AS tier FROM l WHERE trim(text) <> '' AND length(text) < 40 AND {_WORDS.format('text')} BETWEEN 1 AND 8",
     "footnote_split": f"""WITH p AS ({_PAGES}), o AS (SELECT *, unnest([1, 2]) AS ordinal FROM p)
  SELECT book_id, page_no, ordinal, CAST(ordinal AS VARCHAR) AS label, CASE ordinal WHEN 1 THEN 'first source continued below' ELSE 'second source' END AS text, 'p' || (page_no + 1) || '-' || ordinal AS note_id FROM o""",
-    "footnote_refs": f"""WITH p AS ({_PAGES}), n AS (SELECT *, CAST(least(4, len(string_split(text, chr(10)))) AS INTEGER) AS last FROM p)
+    "footnote_refs": f"""WITH p AS ({_PAGES}), n AS (SELECT *, CAST(len(string_split(text, chr(10))) AS INTEGER) AS last FROM p)
  SELECT book_id, page_no, last AS elem_no, 'p' AS kind, CASE WHEN page_no % 2 = 0 THEN 'as said [^p' || (page_no + 1) || '-1] and [^p' || (page_no + 1) || '-2] there' ELSE 'as said (1) and (1) there' END AS text, CAST(NULL AS VARCHAR) AS note_id FROM n
  UNION ALL SELECT book_id, page_no, last + 1, 'footnote', 'first source continued below', 'p' || (page_no + 1) || '-1' FROM n
  UNION ALL SELECT book_id, page_no, last + 2, 'footnote', 'second source', 'p' || (page_no + 1) || '-2' FROM n""",

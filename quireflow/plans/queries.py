@@ -46,8 +46,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return _docs(spark, d).select(F.col("source").alias("book_id"), (F.row_number().over(w) - 1).alias("page_no"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return L.document_pages(_docs(spark, d))
 
 
 def _furnished_text() -> Column:
@@ -219,9 +218,14 @@ def list_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _verses(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of arabized pages as lines, every third page with one rhyme."""
+    """Sentences of arabized pages as lines of seven words, every third page with one rhyme."""
     tail = F.when(F.col("page_no") % 3 == 0, " سلوان").otherwise("")
-    parts = F.transform(F.filter(F.split(_arabized("text"), "[.\n]"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.array_join(F.slice(F.split(F.trim(x), " +"), 1, 7), " "), tail))
+
+    def sevens(sentence: Column) -> Column:
+        words = F.split(F.trim(sentence), " +")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 7).cast("int")), lambda i: F.concat(F.array_join(F.slice(words, i * 7 + 1, F.lit(7)), " "), tail))
+
+    parts = F.flatten(F.transform(F.filter(F.split(_arabized("text"), "[.\n]"), lambda x: F.trim(x) != ""), sevens))
     return _pages(spark, d).select("book_id", "page_no", F.posexplode(parts).alias("line_no", "text"))
 
 
@@ -231,10 +235,10 @@ def verse_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _noted(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with a body of up to four lines citing (1) and, every other page, [2], and two notes below."""
+    """Pages whose lines end with one citing (1) and, every other page, [2], and two notes below."""
     n = F.col("page_no")
-    first = F.slice(F.split(F.translate("text", "()[]", ""), "\n", -1), 1, 4)
-    body = F.array_append(first, F.when(n % 2 == 0, "as said (1) and [2] there").otherwise("as said (1) and (1) there"))
+    lines = F.split(F.translate("text", "()[]", ""), "\n", -1)
+    body = F.array_append(lines, F.when(n % 2 == 0, "as said (1) and [2] there").otherwise("as said (1) and (1) there"))
     notes = F.array(F.lit("(1) first source"), F.lit("continued below"), F.lit("2- second source"))
     texts = _pages(spark, d).select("book_id", "page_no", F.size(body).alias("n_body"), F.posexplode(F.concat(body, notes, F.array((n + 1).cast("string")))).alias("line_no", "text"))
     low = F.col("line_no") >= F.col("n_body")
@@ -255,10 +259,12 @@ def footnote_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_window(spark: SparkSession, d: str) -> DataFrame:
-    """A cue before every fifth line"""
+    """All lines, every fifth in brackets behind a cue, every fifth before a source"""
     n = F.col("line_no")
-    text = F.when(n % 5 == 0, "قال تعالى").when(n % 5 == 1, F.concat(F.lit("«"), F.substring("text", 1, 60), F.lit("»"))).when(n % 5 == 3, "سورة البقرة").otherwise(F.substring("text", 1, 60))
-    return S.quotations(_lines(spark, d).where("trim(text) <> ''").select("book_id", "page_no", "line_no", F.lit("p").alias("kind"), text.alias("text")))
+    text = F.when(n % 5 == 1, F.concat(F.lit("«"), "text", F.lit("»"))).otherwise(F.col("text"))
+    more = F.when(n % 5 == 0, "قال تعالى").when(n % 5 == 3, "سورة البقرة")
+    pair = F.explode(F.array_compact(F.array(F.struct((n * 2).alias("line_no"), text.alias("text")), F.when(more.isNotNull(), F.struct((n * 2 + 1).alias("line_no"), more.alias("text"))))))
+    return S.quotations(_lines(spark, d).where("trim(text) <> ''").select("book_id", "page_no", pair.alias("e")).select("book_id", "page_no", "e.line_no", F.lit("p").alias("kind"), "e.text"))
 
 
 def boundary_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -269,9 +275,12 @@ def boundary_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merge_elements(spark: SparkSession, d: str) -> DataFrame:
-    """Up to two elements a page, every third page one; most without terminal punctuation."""
-    texts = F.slice(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.when(F.col("page_no") % 6 == 5, x).otherwise(F.regexp_replace(F.substring(x, 1, 50), "[.!:]+$", ""))), F.lit(1), F.when(F.col("page_no") % 3 == 1, 2).otherwise(1))
-    return stage(_pages(spark, d).where("page_no % 17 <> 16").select("book_id", "page_no", F.posexplode(texts).alias("elem_no", "text"), F.lit("p").alias("kind")))
+    """A page's text as one element, on every third page its first line and the rest; most without terminal punctuation."""
+    lines = F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.when(F.col("page_no") % 6 == 5, x).otherwise(F.regexp_replace(x, "[.!:]+$", "")))
+    rest = F.slice(lines, F.lit(2), F.size(lines))
+    two = F.array_compact(F.array(F.get(lines, F.lit(0)), F.when(F.size(rest) > 0, F.array_join(rest, " "))))
+    texts = F.when(F.col("page_no") % 3 == 1, two).otherwise(F.when(F.size(lines) > 0, F.array(F.array_join(lines, " "))).otherwise(F.array().cast("array<string>")))
+    return stage(_pages(spark, d).select("book_id", "page_no", F.posexplode(texts).alias("elem_no", "text"), F.lit("p").alias("kind")))
 
 
 def _html_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -312,7 +321,7 @@ def markdown_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def front_matter(spark: SparkSession, d: str) -> DataFrame:
     """S16"""
-    text = F.concat(F.lit("---\nTitle: book "), "doc_id", F.lit("\nauthor: 'someone'\n"), F.when(F.col("doc_id") % 5 == 0, "").otherwise("---\n"), F.substring("text", 1, 40))
+    text = F.concat(F.lit("---\nTitle: book "), "doc_id", F.lit("\nauthor: 'someone'\n"), F.when(F.col("doc_id") % 5 == 0, "").otherwise("---\n"), F.coalesce("text", F.lit("")))
     out = M.front_matter(_docs(spark, d).select("doc_id", text.alias("markdown")))
     return out.select("doc_id", F.try_element_at("meta", F.lit("title")).alias("title"), F.try_element_at("meta", F.lit("author")).alias("author"), F.char_length("body").alias("body_chars"))
 
@@ -394,7 +403,7 @@ def missing_scans(spark: SparkSession, d: str) -> DataFrame:
 
 def covers(spark: SparkSession, d: str) -> DataFrame:
     """O05"""
-    return C.covers(_pages(spark, d).where("page_no > 0 and doc_id % 2 = 0").withColumn("kind", F.lit("img")))
+    return C.covers(_pages(spark, d).withColumn("kind", F.when((F.col("page_no") > 0) & (F.col("doc_id") % 2 == 0), "img").otherwise("p")))
 
 
 def toc_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -426,20 +435,20 @@ def hemistichs(spark: SparkSession, d: str) -> DataFrame:
 
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     """O02"""
-    return L.reading_order(_words(spark, d).where("word_no < 3").select("book_id", "page_no", "x", "y", "par_no")).groupBy("book_id", "page_no").agg(F.max("line_no").alias("last_line"), F.max_by("x", "line_no").alias("last_x"))
+    return L.reading_order(_words(spark, d).select("book_id", "page_no", "x", "y", "par_no")).groupBy("book_id", "page_no").agg(F.max("line_no").alias("last_line"), F.max_by("x", "line_no").alias("last_x"))
 
 
 def boxed_chars(spark: SparkSession, d: str) -> DataFrame:
     """J07, A08, S06"""
-    w = _words(spark, d).where("par_no < 2")
+    w = _words(spark, d)
     chars = w.select("book_id", "page_no", "x", "y", F.lit(4).alias("w"), F.lit(8).alias("h"), (F.col("h") * 1.0).alias("size"), F.when(F.col("word_no") % 3 == 0, 700).otherwise(400).alias("weight"))
     rects = w.groupBy("book_id", "page_no", "par_no", "row_no").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + 40) - F.min("x")).alias("w"), F.lit(15).alias("h")).withColumn("rect_no", F.col("par_no") * 4 + F.col("row_no"))
     return L.boxed_chars(chars, rects)
 
 
 def scalar_texts(spark: SparkSession, d: str) -> DataFrame:
-    """T02, T03, T08, T16, T18, T20, T22, T23 over first lines"""
-    line = F.split("text", "\n").getItem(0)
+    """T02, T03, T08, T16, T18, T20, T22, T23 over whole texts"""
+    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
     path = F.concat(F.lit("/in/noor-book.com "), "source", F.lit("_.pdf"))
     return _docs(spark, d).select("doc_id", T.fuzzy_key(line).alias("key"), T.coverage_chars(F.col("text")).alias("chars"), T.clean_heading(F.concat(F.lit("12 - "), line, F.lit(" |_ "))).alias("heading"), T.arabic_digits(F.col("doc_id")).alias("digits"), T.title_of_path(path).alias("title"), T.language_tag(F.col("lang")).alias("tag"), T.xml_escape(F.concat(F.lit("<&>"), "lang")).alias("xml"), T.volume_name(F.col("source"), F.col("doc_id") % 3 + 1, F.col("doc_id") % 2 + 1).alias("volume"), T.settings_hash(F.col("source")).alias("hash"))
 

@@ -15,7 +15,7 @@ from quireflow.operators import markdown as M
 from quireflow.operators import merge, repeated, report
 from quireflow.plans import books
 from quireflow.sinks import epub
-from quireflow.sources import readers
+from quireflow.sources import pdf, readers
 from quireflow.stages import kept_stage
 from quireflow.streaming.books import markdown_stream, process_available
 
@@ -153,7 +153,7 @@ def test_readers_stages_and_stream(spark, tmp_path):
     (tmp_path / "in" / "a.md").write_text("\ufeff# A\ntext", encoding="utf-8")
     (tmp_path / "in" / "x.pdf").write_bytes(b"no pdf")
     assert readers.markdown_files(spark, str(tmp_path / "in")).first().markdown == "# A\ntext"
-    assert readers.pdf_files(spark, str(tmp_path / "in")).first().error == "malformed"
+    assert pdf.pdf_pages(pdf.pdf_files(spark, str(tmp_path / "in"))).first().error == "malformed"
     with pytest.raises(MissingLibraryError):
         readers.decoded(spark.range(1), lambda x: x, "id long", "no_such_library")
     page = '{"page_no":2,"size":[10,20],"lines":[{"words":[{"text":"a","conf":90,"bbox":[0,0,1,1]},{"text":" ","conf":-1,"bbox":[0,0,1,1]}],"bbox":[1,2,3,4]}]}'
