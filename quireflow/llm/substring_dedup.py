@@ -6,9 +6,10 @@ hash. Overlapping paragraphs share most minima, so each minimum is emitted
 once. Texts that share a minimum become candidates of the first document that
 has it; so that a frequent shingle does not hide closer texts, they become
 candidates also of the first document that shares the shingles before it,
-after it, or both. A candidate pair's whole texts are then aligned on all
-their shingles: runs of equal shingles are joined over edits into the longest
-passages with Jaccard similarity >= 0.8, whose ends are those of the match.
+after it, or both. A candidate pair's texts, from the first to the last shared
+minimum and a margin beyond, are then aligned on all their shingles: runs of
+equal shingles are joined over edits into the longest passages with Jaccard
+similarity >= 0.8, whose ends are those of the match.
 
 A passage of a text that an earlier document has is removed. Where that
 document's own passage is removed for a still earlier one, the text is kept
@@ -22,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +86,7 @@ def minima(sh: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
 
 
 def minima_of(data: np.ndarray, offsets: np.ndarray, p: Paragraphs) -> tuple[np.ndarray, ...]:
-    """text, the shingle itself and with those before and after it in its span (0: the text ends before), and whether it is a repeat in its text, of every minimum."""
+    """text, place, the shingle itself and with those before and after it in its span (0: the text ends before), and whether it is a repeat in its text, of every minimum."""
     _, _, h, first = S.words(data, offsets)
     sh, at = S.shingle_hashes(h, first)
     a = minima(sh, at, p.window)
@@ -104,7 +104,7 @@ def minima_of(data: np.ndarray, offsets: np.ndarray, p: Paragraphs) -> tuple[np.
     order = np.lexsort((a, key, text))
     again = np.zeros(len(a), bool)
     again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-    return text, key, *sides, again
+    return text, local, key, *sides, again
 
 
 def _minima(docs: DataFrame, p: Paragraphs) -> DataFrame:
@@ -112,16 +112,17 @@ def _minima(docs: DataFrame, p: Paragraphs) -> DataFrame:
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in S.chunks(batch.column(2)):
-                text, key, left, right, again = minima_of(data, offsets, p)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text].astype(np.int64)), pa.array(hashes[i:j][text].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (key, left, right)), pa.array(again)], names=["doc_id", "text_hash", "key", "left", "right", "again"])
+                text, place, key, left, right, again = minima_of(data, offsets, p)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text].astype(np.int64)), pa.array(hashes[i:j][text].astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (key, left, right)), pa.array(again)], names=["doc_id", "text_hash", "at", "key", "left", "right", "again"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash int, key long, left long, right long, again boolean")
+    return docs.mapInArrow(run, "doc_id long, text_hash int, at int, key long, left long, right long, again boolean")
 
 
-def matches(mine: np.ndarray, other: np.ndarray, earlier: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def matches(mine: np.ndarray, other: np.ndarray, ahead: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the shingles of ``mine`` that ``other`` has, and one place there: that after the last one's where it fits, else the first.
 
-    ``earlier``: both are one text, and only smaller positions count.
+    ``ahead``: both are parts of one text, ``mine`` beginning so many places
+    after ``other``, and only earlier places of the text count.
     """
     order = np.argsort(other, kind="stable")
     ordered = other[order]
@@ -132,11 +133,12 @@ def matches(mine: np.ndarray, other: np.ndarray, earlier: bool = False) -> tuple
     if (ordered[1:] == ordered[:-1]).any():
         last = -1
         for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
-            if k and i[k - 1] == x - 1 and last + 1 < len(other) and other[last + 1] == mine[x] and not (earlier and last + 1 >= x):
+            if k and i[k - 1] == x - 1 and last + 1 < len(other) and other[last + 1] == mine[x] and not (ahead is not None and last + 1 >= x + ahead):
                 j[k] = y = last + 1
             last = y
-    if earlier:
-        i, j = i[j < i], j[j < i]
+    if ahead is not None:
+        some = j < i + ahead
+        i, j = i[some], j[some]
     return i, j
 
 
@@ -173,70 +175,99 @@ def common_passages(i: np.ndarray, j: np.ndarray, p: Paragraphs) -> list[tuple[i
     return out
 
 
-def _pairs(docs: DataFrame, p: Paragraphs) -> DataFrame:
-    """(doc_id, text_hash, rep): texts and the first documents with which they share a minimum, alone or with its neighbours on either side or both."""
+def _pairs(docs: DataFrame, p: Paragraphs) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, rep, low, high): texts, the first documents with which they share a minimum, alone or with its neighbours on either side or both, and the first and last place of these; and (doc_id, text_hash, low, high) of all shared minima of a text."""
     # the minima are cheaper to compute twice than to store
     often = _minima(docs, p).groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
     hits = store(_minima(docs, p).join(often, "key"))
-    found = hits.where("doc_id <> rep or again").select("doc_id", "text_hash", "rep")
+    found = hits.where("doc_id <> rep or again").select("doc_id", "text_hash", "rep", "at")
     sides = {"left": F.col("left"), "right": F.col("right"), "both": F.when((F.col("left") != 0) & (F.col("right") != 0), F.xxhash64("left", "right")).otherwise(0)}
     for side in sides.values():
-        closer = hits.select("doc_id", "text_hash", side.alias("side")).where("side <> 0")
+        closer = hits.select("doc_id", "text_hash", "at", side.alias("side")).where("side <> 0")
         first = closer.groupBy("side").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-        found = found.union(closer.join(first, "side").where("doc_id <> rep").select("doc_id", "text_hash", "rep"))
-    pairs = store(found.distinct())
+        found = found.union(closer.join(first, "side").where("doc_id <> rep").select("doc_id", "text_hash", "rep", "at"))
+    ends = F.min("at").alias("low"), F.max("at").alias("high")
+    pairs = store(found.groupBy("doc_id", "text_hash", "rep").agg(*ends))
+    spans = store(hits.groupBy("doc_id", "text_hash").agg(*ends).join(pairs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     discard(hits)
-    return pairs
+    return pairs, spans
 
 
 #: Texts that are compared with one document in one task.
 _COMPARED = 64
-#: Bytes of text that are hashed at once there.
-_BYTES = 1 << 20
+#: Bytes of a shingle's hash that are compared; two texts of 10,000 shingles have a false match with a chance of 4e-7.
+_WIDTH = 6
+
+
+def _cut_out(docs: DataFrame, jobs: DataFrame, margin: int) -> DataFrame:
+    """(rep, salt, shards, doc_id, text_hash, begin, sh): of every text the stretches of shingles that its jobs ask for; a null salt is one held against others."""
+    schema = "rep long, salt int, shards int, doc_id long, text_hash int, begin int, sh binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, shards = (batch.column(k).to_pylist() for k in (0, 1, 6))
+            lows, highs, asks = (batch.column(k).to_pylist() for k in (4, 5, 3))
+            for i, j, data, offsets in S.chunks(batch.column(2)):
+                _, _, h, first = S.words(data, offsets)
+                sh, at = S.shingle_hashes(h, first)
+                raw = np.ascontiguousarray(sh).view(np.uint8).reshape(-1, 8)[:, :_WIDTH]
+                rows = []
+                for k in range(i, j):
+                    a, z = int(at[k - i]), int(at[k - i + 1])
+
+                    def stretch(low: int, high: int) -> tuple[int, bytes]:
+                        begin = max(0, low - margin)
+                        return begin, raw[a + begin : min(z, a + high + margin + 1)].tobytes()
+
+                    rows += [(x["rep"], x["salt"], None, ids[k], hashes[k], *stretch(x["low"], x["high"])) for x in asks[k] or []]
+                    if shards[k] is not None:
+                        rows.append((ids[k], None, shards[k], ids[k], hashes[k], *stretch(lows[k], highs[k])))
+                columns = zip(*rows) if rows else [()] * 7
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["rep", "salt", "shards", "doc_id", "text_hash", "begin", "sh"])
+
+    return docs.join(jobs, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "asks", "low", "high", "shards").mapInArrow(run, schema)
 
 
 def _passages(docs: DataFrame, p: Paragraphs) -> DataFrame:
     """(doc_id, text_hash, start_word, end_word, rep, rep_start, rep_end): verified passages of the candidate pairs."""
-    pairs = _pairs(docs, p)
+    pairs, spans = _pairs(docs, p)
     shards = store(pairs.groupBy("rep").agg(F.ceil(F.count("*") / _COMPARED).cast("int").alias("shards")))
-    many = shards.where("shards > 1")
-    salted = pairs.join(many, "rep", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.coalesce("shards", F.lit(1)).cast("long")).cast("int"))
-    # where every text goes, as the one that asks or the one that is held against; texts are joined with it once
-    asking = salted.select("doc_id", F.col("text_hash").alias("hash"), "rep", "salt", F.lit(True).alias("asks"))
-    held = shards.select(F.col("rep").alias("doc_id"), F.lit(None).cast("int").alias("hash"), "rep", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("salt"), F.lit(False).alias("asks"))
-    rows = docs.join(asking.union(held), "doc_id").where("hash is null or hash = text_hash").select("rep", "salt", "asks", "doc_id", "text_hash", "text")
+    salted = pairs.join(shards.where("shards > 1"), "rep", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.coalesce("shards", F.lit(1)).cast("long")).cast("int"))
+    # a text has no more partners than minima, so that its list is bounded by its own length
+    asking = salted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("rep", "salt", "low", "high")).alias("asks"))
+    held = spans.join(shards.withColumnRenamed("rep", "doc_id"), "doc_id")
+    parts = _cut_out(docs, asking.join(held, ["doc_id", "text_hash"], "full"), 2 * p.window + p.shingles)
     order = ["rep", "salt"]
+    everywhere = F.explode(F.when(F.col("salt").isNotNull(), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("shards") - 1)))
+    rows = parts.select("rep", everywhere.alias("salt"), F.col("salt").isNotNull().alias("asks"), "doc_id", "text_hash", "begin", "sh")
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, order, 512):
-            rep, asks, doc, text_hash = (rows.column(k).to_numpy() for k in ("rep", "asks", "doc_id", "text_hash"))
-            ends = np.append(starts[1:], rows.num_rows)
-            size = np.cumsum(pc.binary_length(rows.column("text")).to_numpy())
-            # groups are handled together up to some bytes of text
-            packs = np.split(np.arange(len(starts)), np.flatnonzero(np.diff(size[ends - 1] // _BYTES)) + 1)
+            rep, asks, doc, text_hash, begin = (rows.column(k).to_numpy() for k in ("rep", "asks", "doc_id", "text_hash", "begin"))
+            data, offsets = ragged(rows.column("sh"))
+            at = offsets // _WIDTH
+            sh = np.zeros((int(at[-1]), 8), np.uint8)
+            sh[:, :_WIDTH] = data.reshape(-1, _WIDTH)
+            sh = sh.view(np.uint64).ravel()
             out: list[tuple[int, ...]] = []
-            for pack in packs:
-                base = int(starts[pack[0]])
-                data, offsets = ragged(rows.column("text").slice(base, int(ends[pack[-1]]) - base))
-                _, _, h, first = S.words(data, offsets)
-                sh, at = S.shingle_hashes(h, first)
-                for a, z in zip(starts[pack].tolist(), ends[pack].tolist()):
-                    middle = a + int(np.count_nonzero(~asks[a:z]))
-                    for k in range(middle, z):
-                        for r in range(a, middle):
-                            own = doc[k] == rep[r]
-                            if own and text_hash[k] != text_hash[r]:
-                                continue
-                            i, j = matches(sh[at[k - base] : at[k - base + 1]], sh[at[r - base] : at[r - base + 1]], own)
-                            out += [(doc[k], text_hash[k], s, e, rep[r], rs, re) for s, e, rs, re in common_passages(i, j, p)]
+            for a, z in zip(starts.tolist(), np.append(starts[1:], rows.num_rows).tolist()):
+                middle = a + int(np.count_nonzero(~asks[a:z]))
+                for k in range(middle, z):
+                    for r in range(a, middle):
+                        own = doc[k] == rep[r]
+                        if own and text_hash[k] != text_hash[r]:
+                            continue
+                        i, j = matches(sh[at[k] : at[k + 1]], sh[at[r] : at[r + 1]], int(begin[k] - begin[r]) if own else None)
+                        out += [(doc[k], text_hash[k], s + begin[k], e + begin[k], rep[r], rs + begin[r], re + begin[r]) for s, e, rs, re in common_passages(i, j, p)]
             columns = np.array(out, np.int64).reshape(-1, 7).T
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds)], names=["doc_id", "text_hash", "start_word", "end_word", "rep", "rep_start", "rep_end"])
 
     out = store(rows.mapInArrow(run, "doc_id long, text_hash int, start_word int, end_word int, rep long, rep_start int, rep_end int").distinct())
-    discard(pairs)
-    discard(shards)
+    for made in (pairs, spans, shards):
+        discard(made)
     return out
 
 
