@@ -19,6 +19,10 @@ d AS MATERIALIZED (SELECT *, is_watermark OR is_page_number OR is_junk AS droppe
 _COVER = f"""{_FLAGS},
 r AS (SELECT book_id, page_no, CAST(coalesce(sum(n) FILTER (NOT dropped), 0) AS BIGINT) AS source_chars, CAST(coalesce(sum(n) FILTER (dropped), 0) AS BIGINT) AS dropped_chars FROM d GROUP BY 1, 2)"""
 
+_LOSSY = f"""{_COVER}, ke AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_no ORDER BY line_no) - 1 AS e FROM d WHERE NOT dropped),
+ kept AS (SELECT book_id, page_no, sum(n) AS emitted FROM ke WHERE page_no % 6 <> 2 OR e % 3 <> 0 GROUP BY 1, 2),
+ lossy AS (SELECT r.*, CAST(coalesce(emitted, 0) AS BIGINT) AS emitted_chars FROM r LEFT JOIN kept ON kept.book_id = r.book_id AND kept.page_no = r.page_no)"""
+
 _VERDICT = f"""p AS MATERIALIZED ({_PAGES}), r AS MATERIALIZED ({_LAYER}),
 m AS MATERIALIZED (SELECT *, {_WORDS.format('raw_text')} AS words, left(raw_text, 4000) AS sample FROM r),
 x AS (SELECT book_id, page_no, raw_text, words, {_WORDS.format('sample')} AS sw, len(regexp_extract_all(sample, '(?:^|\\s)ل(?:\\s|$)')) AS lam, len(regexp_extract_all(sample, '[بتثجحخسشصضطظعغفقكمنهي][إأآ]')) AS hamza,
@@ -52,13 +56,22 @@ _REPEAT = f"""{_lines_sql('text')}, e AS (SELECT *, row_number() OVER (PARTITION
 k AS (SELECT book_id, page_no, {_KEY} AS key FROM e WHERE (a <= 2 OR z <= 2) AND length(text) <= 60 AND trim(text) <> ''),
 n AS (SELECT book_id, greatest(3, CAST(floor(count(DISTINCT page_no) * 0.1) AS BIGINT)) AS least FROM l GROUP BY 1 HAVING count(DISTINCT page_no) >= 5)"""
 
+_REPORTED = f"""p AS ({_PAGES}), g AS MATERIALIZED (SELECT book_id, page_no, CASE WHEN page_no % 4 = 1 THEN 'image-kept' WHEN page_no % 4 = 2 THEN 'ocr' ELSE 'text-layer' END AS route, concat_ws('; ', CASE WHEN page_no % 3 = 0 THEN 'flat layout' END, CASE WHEN page_no % 5 = 0 THEN 'foreign script' END) AS notes, length(text) AS source_chars, length(text) - page_no % 7 AS emitted_chars FROM p)"""
+
+_GIANTS = f"""{_lines_sql('text')}, e AS MATERIALIZED (SELECT book_id, page_no // 10 AS chapter_no, page_no * 100000 + line_no AS elem_no, length(text) AS weight FROM l WHERE trim(text) <> ''),
+ b AS MATERIALIZED (SELECT book_id, chapter_no, CAST(sum(weight) AS DOUBLE) AS total, greatest(2, CAST(round_even(sum(weight) / 25000, 0) AS INTEGER)) AS parts FROM e GROUP BY 1, 2 HAVING sum(weight) > 40000 AND count(*) > 3),
+ sg AS MATERIALIZED (SELECT e.book_id, e.chapter_no, elem_no, CAST(weight AS DOUBLE) AS weight, total, parts, row_number() OVER (PARTITION BY e.book_id, e.chapter_no ORDER BY elem_no) AS nth FROM e JOIN b ON b.book_id = e.book_id AND b.chapter_no = e.chapter_no),
+ v AS (SELECT book_id, chapter_no, elem_no, nth, weight AS run, total AS rest, parts, 0 AS part_no FROM sg WHERE nth = 1
+ UNION ALL SELECT sg.book_id, sg.chapter_no, sg.elem_no, sg.nth, CASE WHEN v.parts > 1 AND run + weight / 2 >= rest / v.parts THEN weight ELSE run + weight END, CASE WHEN v.parts > 1 AND run + weight / 2 >= rest / v.parts THEN rest - run ELSE rest END,
+ CASE WHEN v.parts > 1 AND run + weight / 2 >= rest / v.parts THEN v.parts - 1 ELSE v.parts END, CASE WHEN v.parts > 1 AND run + weight / 2 >= rest / v.parts THEN part_no + 1 ELSE part_no END FROM v JOIN sg ON sg.book_id = v.book_id AND sg.chapter_no = v.chapter_no AND sg.nth = v.nth + 1)"""
+
 _NAME = "'text/' || page_no || '.xhtml'"
 
 ORACLES: dict[str, str] = {
     "line_explode": f"WITH {_lines_sql('text')} SELECT book_id, page_no, line_no, text FROM l WHERE regexp_matches(text, '\\S')",
     "line_drop_flags": f"WITH {_FLAGS} SELECT book_id, page_no, line_no, edge, is_watermark, is_page_number, is_junk, dropped FROM d",
-    "char_coverage_by_page": f"WITH {_COVER} SELECT book_id, page_no, source_chars, dropped_chars, source_chars AS emitted_chars, CAST(1.0 AS DOUBLE) AS coverage FROM r",
-    "book_coverage": f"WITH {_COVER} SELECT book_id, CAST(1.0 AS DOUBLE) AS coverage, CAST(sum(source_chars) AS BIGINT) AS source_chars, CAST(sum(source_chars) AS BIGINT) AS emitted_chars, count(*) AS pages FROM r GROUP BY 1",
+    "char_coverage_by_page": f"WITH {_LOSSY} SELECT book_id, page_no, source_chars, dropped_chars, emitted_chars, CASE WHEN source_chars > 0 THEN round_even(emitted_chars / source_chars, 3) ELSE 1.0 END AS coverage FROM lossy",
+    "book_coverage": f"WITH {_LOSSY} SELECT book_id, CASE WHEN sum(source_chars) > 0 THEN sum(emitted_chars) / sum(source_chars) ELSE 1.0 END AS coverage, CAST(sum(source_chars) AS BIGINT) AS source_chars, CAST(sum(emitted_chars) AS BIGINT) AS emitted_chars, count(*) AS pages FROM lossy GROUP BY 1",
     "coverage_warnings": f"""WITH {_COVER}, k AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_no ORDER BY line_no) - 1 AS e FROM d WHERE NOT dropped),
  em AS (SELECT book_id, page_no, sum(n) AS emitted FROM k WHERE page_no % 4 <> 0 OR e % 2 = 0 GROUP BY 1, 2),
  pr AS (SELECT r.*, coalesce(emitted, 0) AS emitted, CASE WHEN source_chars > 0 THEN round_even(coalesce(emitted, 0) / source_chars, 3) ELSE 1.0 END AS coverage FROM r LEFT JOIN em ON em.book_id = r.book_id AND em.page_no = r.page_no),
@@ -136,7 +149,8 @@ ORACLES: dict[str, str] = {
  SELECT c.book_id, c.page_no, rect_no, median(CAST(h AS DOUBLE)) AS size, avg(CASE WHEN word_no % 3 = 0 THEN 1.0 ELSE 0.0 END) AS bold FROM c JOIN r ON r.book_id = c.book_id AND r.page_no = c.page_no AND x + 2 BETWEEN rx AND rx + rw AND y + 4 BETWEEN ry AND ry + 15 GROUP BY 1, 2, 3""",
     "joined_lines": r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(text, 'e ', 'e-' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''), '␞'), '([A-Za-z])[-‐‑]␞([a-z])', '\1\2', 'g'), '␞', ' ', 'g') AS text FROM documents""",
     "device_pages": f"""WITH p AS ({_PAGES}), d(i, key, width, height) AS (VALUES {', '.join(f"({i}, '{k}', {w}, {h})" for i, (k, _, w, h, _) in enumerate(P.DEVICES))}) SELECT key, width, height, count(*) AS pages FROM p JOIN d ON i = page_no % 5 GROUP BY 1, 2, 3""",
-    "heading_tiers": f"WITH {_lines_sql('text')} SELECT book_id, page_no, line_no, 'h2' AS tier FROM l WHERE trim(text) <> '' AND length(text) < 40 AND {_WORDS.format('text')} BETWEEN 1 AND 8",
+    "heading_tiers": f"""WITH {_lines_sql('text')}, t AS (SELECT book_id, page_no, line_no, CASE WHEN length(text) < 25 THEN 'h1' WHEN length(text) < 35 THEN 'h2' ELSE 'h3' END AS tier, length(text) < 45 AND line_no % 3 <> 0 OR page_no % 4 = 0 AS heads FROM l WHERE trim(text) <> '' AND {_WORDS.format('text')} BETWEEN 1 AND 8)
+ SELECT book_id, page_no, line_no, tier FROM t WHERE heads""",
     "footnote_split": f"""WITH p AS ({_PAGES}), o AS (SELECT *, unnest([1, 2]) AS ordinal FROM p)
  SELECT book_id, page_no, ordinal, CAST(ordinal AS VARCHAR) AS label, CASE ordinal WHEN 1 THEN 'first source continued below' ELSE 'second source' END AS text, 'p' || (page_no + 1) || '-' || ordinal AS note_id FROM o""",
     "footnote_refs": f"""WITH p AS ({_PAGES}), n AS (SELECT *, CAST(len(string_split(text, chr(10))) AS INTEGER) AS last FROM p)
@@ -151,4 +165,35 @@ ORACLES: dict[str, str] = {
  UNION ALL SELECT c.book_id, c.chapter_no, CASE WHEN parts > 1 AND run + weight / 2 >= rest / parts THEN weight ELSE run + weight END, CASE WHEN parts > 1 AND run + weight / 2 >= rest / parts THEN rest - run ELSE rest END,
  CASE WHEN parts > 1 AND run + weight / 2 >= rest / parts THEN parts - 1 ELSE parts END, CASE WHEN parts > 1 AND run + weight / 2 >= rest / parts THEN volume_no + 1 ELSE volume_no END FROM v JOIN c ON c.book_id = v.book_id AND c.chapter_no = v.chapter_no + 1)
  SELECT book_id, chapter_no, volume_no FROM v""",
+    "selected_pages": f"WITH p AS ({_PAGES}) SELECT book_id, page_no FROM p WHERE page_no < 6 OR page_no = 8",
+    "degraded_pages": f"WITH {_REPORTED}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS INTEGER) AS nth FROM g WHERE notes <> '') SELECT book_id, page_no, nth, notes FROM n WHERE nth <= 5",
+    "console_report": f"""WITH {_REPORTED}, c AS (SELECT book_id, sum(source_chars) AS s, sum(emitted_chars) AS e, count(*) AS n FROM g WHERE route IN ('text-layer', 'ocr') GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS nth FROM g WHERE notes <> '')
+ SELECT book_id, 0 AS line_no, printf('coverage %.2f over %d pages', CASE WHEN s > 0 THEN e / s ELSE 1.0 END, n) AS line FROM c UNION ALL SELECT book_id, 1, route || ': ' || count(*) FROM g GROUP BY book_id, route
+ UNION ALL SELECT book_id, CAST(nth + 1 AS INTEGER), 'page ' || (page_no + 1) || ': ' || notes FROM n WHERE nth <= 5""",
+    "recognised_pages": f"""WITH {_WORD_ROWS}, g AS (SELECT book_id, page_no, par_no * 4 + row_no AS o, string_agg(text, ' ' ORDER BY word_no) AS text, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, coalesce(avg(conf) FILTER (conf >= 0), 0) AS conf FROM wd GROUP BY 1, 2, 3)
+ SELECT book_id, page_no, CAST(row_number() OVER (PARTITION BY book_id, page_no ORDER BY o) - 1 AS INTEGER) AS line_no, text, x, y, w, h, conf FROM g""",
+    "giant_split": f"WITH RECURSIVE {_GIANTS} SELECT book_id, chapter_no, elem_no, coalesce(part_no, 0) AS part_no FROM e LEFT JOIN v USING (book_id, chapter_no, elem_no)",
+    "giant_titles": f"""WITH RECURSIVE {_GIANTS}, n AS (SELECT book_id, chapter_no, coalesce(part_no, 0) AS part_no, sum(weight) AS weight, count(*) AS n_elements FROM e LEFT JOIN v USING (book_id, chapter_no, elem_no) GROUP BY ALL)
+ SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY chapter_no, part_no) - 1 AS INTEGER) AS chapter_no, 'part ' || chapter_no || CASE WHEN part_no > 0 THEN ' (' || (part_no + 1) || ')' ELSE '' END AS title, CAST(weight AS BIGINT) AS weight, n_elements FROM n""",
+    "hemistichs": f"""WITH {_WORD_ROWS}, o AS (SELECT *, par_no * 4 + row_no AS line_no, lead(x) OVER k - (x + w) AS gap, row_number() OVER k AS nth FROM wd WINDOW k AS (PARTITION BY book_id, page_no, par_no, row_no ORDER BY x, word_no)),
+ b AS (SELECT book_id, page_no, line_no, count(*) AS n, min(x) AS l, arg_max(x + w, nth) AS r, max(coalesce(gap, 0)) AS gap FROM o GROUP BY ALL), m AS (SELECT b.*, min(nth) AS cut, arg_min(x + w, nth) AS edge FROM o JOIN b USING (book_id, page_no, line_no) WHERE o.gap = b.gap GROUP BY ALL),
+ ok AS (SELECT * FROM m WHERE n >= 4 AND gap > 0 AND gap >= 0.12 * greatest(1, r - l) AND (edge + gap / 2 - l) / greatest(1, r - l) BETWEEN 0.3 AND 0.7)
+ SELECT book_id, page_no, line_no, string_agg(text, ' ' ORDER BY nth) FILTER (nth > cut) AS first, string_agg(text, ' ' ORDER BY nth) FILTER (nth <= cut) AS second FROM o JOIN ok USING (book_id, page_no, line_no) GROUP BY ALL""",
+    "scalar_texts": rf"""WITH t AS (SELECT *, replace(coalesce(text, ''), chr(10), ' ') AS line FROM documents)
+ SELECT doc_id, regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', '', 'g') AS key, CAST(length(regexp_replace(text, '\s+', '', 'g')) AS BIGINT) AS chars,
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace('12 - ' || line || ' |_ ', '[''"`*_|<>}}{{\\]+', ' ', 'g'), '^[\s0-9\-–—.,:;)(]+', ''), '\s+', ' ', 'g'), '^[ \-–—]+|[ \-–—]+$', '', 'g') AS heading,
+ translate(CAST(doc_id AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') AS digits, source AS title, coalesce(lang, 'und') AS tag, '&lt;&amp;&gt;' || lang AS xml, CASE WHEN doc_id % 2 = 0 THEN source ELSE source || ' - ' || (doc_id % 3 + 1) END AS volume, left(sha256(source), 16) AS hash FROM t""",
+    "chapters_by_heading": rf"""WITH {_HTML}, i AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_no, elem_no) AS no, count(*) FILTER (kind = 'h1') OVER (PARTITION BY book_id) >= 2 AND kind = 'h1' AS b, count(*) FILTER (kind = 'h1') OVER (PARTITION BY book_id) >= 2 AS by_head FROM he),
+ o AS (SELECT *, b AND NOT coalesce(lag(b) OVER w, false) AS opens, dense_rank() OVER (PARTITION BY book_id ORDER BY page_no) - 1 AS grp, sum(CASE WHEN b THEN 0 ELSE 1 END) OVER w AS run FROM i WINDOW w AS (PARTITION BY book_id ORDER BY no)),
+ c AS (SELECT *, CASE WHEN by_head THEN sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY no) ELSE grp // 10 END AS raw FROM o),
+ hd AS (SELECT book_id, run, string_agg(text, ' ' ORDER BY no) AS merged FROM c WHERE b GROUP BY 1, 2),
+ e AS (SELECT c.book_id, raw, opens, CASE WHEN opens THEN merged ELSE text END AS text FROM c LEFT JOIN hd ON hd.book_id = c.book_id AND hd.run = c.run AND c.opens WHERE NOT b OR opens),
+ k AS (SELECT book_id, raw, max(text) FILTER (opens) AS head, CAST(sum(length(text)) AS BIGINT) AS weight, count(*) AS n_elements FROM e GROUP BY 1, 2),
+ n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY raw) AS nth, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(head, '[''"`*_|<>}}{{\\]+', ' ', 'g'), '^[\s0-9\-–—.,:;)(]+', ''), '\s+', ' ', 'g'), '^[ \-–—]+|[ \-–—]+$', '', 'g')) AS clean FROM k)
+ SELECT book_id, CAST(nth - 1 AS INTEGER) AS chapter_no, coalesce(nullif(coalesce(nullif(clean, ''), head), ''), 'فصل ' || nth) AS title, weight, n_elements FROM n""",
+    "context_window": rf"""WITH {_lines_sql('text')}, x AS (SELECT book_id, page_no, line_no * 2 AS line_no, CASE WHEN line_no % 5 = 1 THEN '«' || text || '»' ELSE text END AS text FROM l WHERE trim(text) <> '' UNION ALL
+ SELECT book_id, page_no, line_no * 2 + 1, CASE WHEN line_no % 5 = 0 THEN 'قال تعالى' ELSE 'سورة البقرة' END FROM l WHERE trim(text) <> '' AND line_no % 5 IN (0, 3)),
+ q AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS n, row_number() OVER w - 1 AS elem_no FROM x WINDOW w AS (PARTITION BY book_id, page_no ORDER BY line_no)),
+ m AS (SELECT *, regexp_matches(concat_ws(' ', p, text, n), 'قال\s+تعالى|سورة\s+\S+') AND regexp_matches(text, '[«﴿][^«»﴾﴿]{{8,400}}[»﴾]') AS quoted, coalesce(n = 'سورة البقرة', false) AS named FROM q)
+ SELECT book_id, page_no, CAST(elem_no AS INTEGER) AS elem_no, CASE WHEN named OR quoted THEN 'quran' ELSE 'p' END AS kind, CASE WHEN named THEN '﴿' || trim(regexp_replace(regexp_replace(trim(text), '[«»]', ' ', 'g'), '\s+', ' ', 'g')) || '﴾' WHEN quoted THEN regexp_replace(text, '[«﴿][ *]*([^«»﴾﴿]*?)[ *]*[»﴾]', '﴿\1﴾', 'g') ELSE text END AS text FROM m""",
 }

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireflow import params as P
+from quireflow.errors import page_indices
 from quireflow.functions import text as T
 from quireflow.operators import chapters as C
 from quireflow.operators import gate as G
@@ -26,7 +27,7 @@ from quireflow.operators import repeated as R
 from quireflow.operators import report as A
 from quireflow.operators import structure as S
 from quireflow.plans import books
-from quireflow.sinks import epub
+from quireflow.sinks import epub, files
 from quireflow.sources import readers
 from quireflow.stages import stage
 
@@ -94,9 +95,9 @@ def line_drop_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def char_coverage_by_page(spark: SparkSession, d: str) -> DataFrame:
-    """A07, A09, C02, C03"""
+    """Every third element of every sixth page is lost, so that coverage differs"""
     flags = stage(_flags(spark, d))
-    return A.page_report(L.char_counts(flags), S.flat(flags.where("not dropped")))
+    return A.page_report(L.char_counts(flags), S.flat(flags.where("not dropped")).where("page_no % 6 <> 2 or elem_no % 3 <> 0"))
 
 
 def book_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -207,8 +208,11 @@ def paragraph_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes by line length, centred by box"""
-    g = _geometry(spark, d).withColumns({"size": F.when(F.char_length("text") < 40, 20.0).otherwise(12.0), "x": ((612 - F.col("w")) / 2).cast("int"), "body_size": F.lit(12.0), "page_w": F.lit(612)})
+    """Four sizes by line length, every fourth page bold, two of three lines centred"""
+    n = F.char_length("text")
+    size = F.when(n < 25, 24.0).when(n < 35, 17.0).when(n < 45, 14.4).otherwise(12.0)
+    x = F.when(F.col("line_no") % 3 == 0, 0).otherwise(((612 - F.col("w")) / 2).cast("int"))
+    g = _geometry(spark, d).withColumns({"size": size, "bold": F.when(F.col("page_no") % 4 == 0, 0.7).otherwise(0.1), "x": x, "body_size": F.lit(12.0), "page_w": F.lit(612)})
     return S.heading_tiers(g).where("tier is not null").select("book_id", "page_no", "line_no", "tier")
 
 
@@ -458,6 +462,47 @@ def joined_lines(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", T.join_lines(F.split(F.replace(F.col("text"), F.lit("e "), F.lit("e-\n")), "\n", -1)).alias("text"))
 
 
+def selected_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a list of overlapping ranges"""
+    return _pages(spark, d).where(F.col("page_no").isin(page_indices("2-4,3-6,9,1", 9))).select("book_id", "page_no")
+
+
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    """A report with routes, and notes on some pages."""
+    n = F.col("page_no")
+    notes = F.array_compact(F.array(F.when(n % 3 == 0, "flat layout"), F.when(n % 5 == 0, "foreign script")))
+    return _pages(spark, d).select("book_id", "page_no", F.when(n % 4 == 1, "image-kept").when(n % 4 == 2, "ocr").otherwise("text-layer").alias("route"), notes.alias("notes"), F.char_length("text").cast("long").alias("source_chars"), (F.char_length("text") - n % 7).cast("long").alias("emitted_chars"))
+
+
+def degraded_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A11, O04"""
+    return A.degraded(_reported(spark, d)).select("book_id", "page_no", "nth", F.array_join("notes", "; ").alias("notes"))
+
+
+def console_report(spark: SparkSession, d: str) -> DataFrame:
+    """K15, A03, A04, A11"""
+    return files.console(_reported(spark, d))
+
+
+def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Words to page JSON and back to lines"""
+    words = _words(spark, d).withColumn("line_no", F.col("par_no") * 4 + F.col("row_no"))
+    return readers.ocr_pages(files.page_json(words)).select("book_id", "page_no", "line_no", "text", "x", "y", "w", "h", "conf")
+
+
+def archived_pages(spark: SparkSession, d: str) -> DataFrame:
+    """An archive a book"""
+    pages = _pages(spark, d).select("book_id", F.lit(0).alias("volume_no"), "page_no", F.lit("txt").alias("extension"), F.encode("text", "UTF-8").alias("content"))
+    return files.cbz(pages).select("book_id", "volume_no", F.length("cbz").alias("n_bytes"), F.sha2("cbz", 256).alias("sha256"))
+
+
+def giant_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and weights after giant chapters are cut"""
+    elements = _lines(spark, d).where("trim(text) <> ''").select("book_id", F.floor(F.col("page_no") / 10).cast("int").alias("chapter_no"), (F.col("page_no") * 100000 + F.col("line_no")).alias("elem_no"), F.lit("p").alias("kind"), "text")
+    heads = elements.select("book_id", "chapter_no").distinct().withColumn("title", F.concat(F.lit("part "), "chapter_no"))
+    return C.with_split_giants(stage(elements), heads, 40_000, 25_000)[1]
+
+
 def device_pages(spark: SparkSession, d: str) -> DataFrame:
     """S21"""
     keys = F.array(*(F.lit(x[0]) for x in P.DEVICES))
@@ -506,6 +551,6 @@ QUERIES: dict[str, Q] = {
         page_routes, route_counts, layer_reasons, run_summary, rescue_candidates, inspected_books, stage_anti, modal_size, paragraph_segments, heading_tiers, list_islands, verse_islands, footnote_split, footnote_refs,
         context_window, boundary_merge, html_elements, markdown_emit, markdown_parse, markdown_roundtrip, front_matter, chapters_by_heading, chapters_every_n, volume_chunks, giant_split, footnote_relocate, references,
         note_numbers, manifest_integrity, missing_scans, covers, toc_pages, ocr_lines, ocr_confidence, hemistichs, reading_order, boxed_chars, scalar_texts, joined_lines, device_pages, structured_books,
-        structured_report, epub_bytes, book_json,
+        structured_report, epub_bytes, book_json, selected_pages, degraded_pages, console_report, recognised_pages, archived_pages, giant_titles,
     )
 }
