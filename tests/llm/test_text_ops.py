@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.chat import canonical, chat_format, violations
 from quireflow.llm.html_text import Boilerplate, blocks, html_text, shared_runs
-from quireflow.llm.language_id import language_id
+from quireflow.llm.language_id import Trees, language_id
+from quireflow.llm.line_dedup import line_dedup
+from quireflow.llm.ngram_join import ngram_jaccard_join
 from quireflow.llm.oracles import ORACLES
-from quireflow.llm.packing import Bins, best_fit_packing, pack_shard
+from quireflow.llm.packing import Bins, best_fit_packing, pack_shard, packing_items
 from quireflow.llm.pieces import Batch, Lattice, Sampling, Vocabulary, decode, piece_ids, sample_pieces, top_k
 from quireflow.llm.queries import QUERIES
-from quireflow.llm.quality import Risk, log_binomial_cdf, measures, quality_rules
+from quireflow.llm.quality import Risk, kept_documents, log_binomial_cdf, measures, quality_rules
+from quireflow.llm.substring_dedup import duplicate_spans, remove_spans
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -411,3 +414,103 @@ def test_packing_deals_repeated_items(spark):
     assert len(got) == len(rows)
     assert len({r.bin_id for r in got if r.doc_id == 1}) == 9000
     assert len({r.bin_id >> 32 for r in got if r.doc_id == 1}) > 5
+
+
+def segmentations(text, vocabulary):
+    """All segmentations of a text and their probabilities, by plain recursion over the list of pieces."""
+    usable = [p for p, ok in zip(vocabulary.pieces, vocabulary.usable) if ok and p]
+    weight = {p: 1 / (rank + 50) for rank, p in enumerate(usable)}
+    ids = {p: i for i, (p, ok) in enumerate(zip(vocabulary.pieces, vocabulary.usable)) if ok and p}
+
+    def ways(rest):
+        if not rest:
+            return [((), 1.0)]
+        out = []
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in weight:
+                out += [((ids[rest[:n]], *path), weight[rest[:n]] * w) for path, w in ways(rest[n:])]
+        return out
+
+    found = ways("\u2581" + text.replace(" ", "\u2581"))
+    total = sum(w for _, w in found)
+    return {path: w / total for path, w in found}
+
+
+@pytest.mark.parametrize("text", ["abc", "the cat", "hello"])
+def test_samples_against_an_enumerated_lattice(lattice, text):
+    """Every sample is a segmentation there is, with its exact probability; first and second ones come as often as they should."""
+    exact = segmentations(text, lattice.vocabulary)
+    n = 4000
+    batch = Batch(lattice, [text] * n)
+    paths, logs, _, _ = top_k(batch, np.arange(n, dtype=np.uint64) * np.uint64(104729), 2)
+    ids = [piece_ids(x) for x in paths]
+    first, second = Counter(), Counter()
+    for d in range(n):
+        one, two = (tuple(i[at[d] : at[d + 1]].tolist()) for i, at in ids)
+        assert one != two and np.exp(logs[0][d]) == pytest.approx(exact[one], rel=1e-6) and np.exp(logs[1][d]) == pytest.approx(exact[two], rel=1e-6)
+        first[one] += 1
+        second[two] += 1
+    for path, p in exact.items():
+        q = sum(exact[o] * p / (1 - exact[o]) for o in exact if o != path)
+        for count, chance in ((first[path], p), (second[path], q)):
+            assert abs(count / n - chance) < 5 * (chance * (1 - chance) / n) ** 0.5 + 1e-3
+
+
+def test_code_lengths_against_brute_force():
+    """The trees' code lengths equal those of dictionaries of counts: escape to the next shorter context with distinct / (total + distinct)."""
+    rng = random.Random(17)
+    learned = {"x": ["".join(rng.choice("abcd ") for _ in range(200)), "abab"], "y": ["".join(rng.choice("cdef ") for _ in range(150))]}
+    least = 3
+    rows, contexts, depth3 = Counter(), defaultdict(lambda: defaultdict(Counter)), Counter()
+    for lang, texts in learned.items():
+        for t in texts:
+            raw = b"\n\n\n" + t.encode()
+            for i in range(3, len(raw)):
+                rows[lang, int.from_bytes(raw[i - 3 : i + 1], "big")] += 1
+                depth3[raw[i - 3 : i]] += 1
+                for order in range(4):
+                    contexts[lang][raw[i - order : i]][raw[i]] += 1
+
+    def bits(lang, context, symbol):
+        if len(context) == 3 and depth3[context] < least:
+            context = context[1:]
+        p = 1.0
+        while True:
+            n = contexts[lang].get(context)
+            if n:
+                total, distinct = sum(n.values()), len(n)
+                if n[symbol]:
+                    return -np.log2(p * n[symbol] / (total + distinct))
+                p *= distinct / (total + distinct)
+            if not context:
+                return -np.log2(p / 256)
+            context = context[1:]
+
+    langs = sorted(learned)
+    keys = sorted(rows)
+    trees = Trees(2, np.array([langs.index(k[0]) for k in keys]), np.array([k[1] for k in keys]), np.array([rows[k] for k in keys]), least)
+    texts = ["abcd", "zzz a", "", "fed cab " * 9, "\u00e9"]
+    raw = [t.encode() for t in texts]
+    got = trees.lengths(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, mine in zip(raw, got):
+        padded = b"\n\n\n" + t
+        expect = [sum(bits(lang, padded[i - 3 : i], padded[i]) for i in range(3, len(padded))) for lang in langs]
+        assert mine == pytest.approx(expect, rel=1e-4)
+
+
+def test_clashing_columns_and_repeats_everywhere(spark):
+    """Extra columns under the names of helpers, repeated rows and nulls: same results as without, row by row."""
+    rng = random.Random(18)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 60, 120]))), "en", "s") for i in range(30)]
+    rows += [rows[3], rows[3], (None, None, None, None), (31, "", None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = ["row", "t", "w", "shard", "copy", "copies", "n_words", "cluster", "sig", "node", "key", "at", "kept", "stratum", "letters", "held_out", "msg", "place", "text_hash", "n_sh"]
+    clash = plain.select("*", *(F.lit("clash").alias(n) for n in names))
+    labels = spark.createDataFrame([(i, i % 2, 0, "c") for i in range(30)], "doc_id long, quality int, toxic int, row string")
+    for op in (lambda d: quality_rules(d, labels), language_id, lambda d: best_fit_packing(packing_items(d)).select("doc_id", "piece", "n_words"), ngram_jaccard_join, lambda d: duplicate_spans(d).select("doc_id", "start_word", "end_word"), line_dedup, lambda d: kept_documents(d, labels).select("doc_id", "text")):
+        assert sorted(map(str, op(plain).collect())) == sorted(map(str, op(clash).collect()))
+        assert op(clash.limit(0)).count() == 0
+    assert kept_documents(clash, labels).columns == clash.columns
+    assert remove_spans(clash, duplicate_spans(clash)).columns == clash.columns
+    got = ngram_jaccard_join(plain).where("doc_id = 3").collect()
+    assert len(got) == 3 and len(set(got)) == 1 and got[0].n_links == 2
