@@ -57,7 +57,7 @@ def _write(volumes: DataFrame, out: str) -> int:
 
 
 def _epubs(docs: DataFrame, meta: DataFrame, volumes: int, split_every: int) -> DataFrame:
-    elements, chapters = books.markdown_volumes(docs, volumes, split_every, meta)
+    elements, chapters = books.markdown_volumes(docs, volumes, split_every)
     return epub.epubs(elements, chapters, meta)
 
 

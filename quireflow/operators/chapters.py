@@ -119,11 +119,15 @@ def with_split_giants(elements: DataFrame, chapters_: DataFrame, most: int = P.M
     return rows, heads
 
 
-def with_placeholders(chapters_: DataFrame, books: DataFrame) -> DataFrame:
-    """``chapters`` and one empty chapter for each of the books (book_id, title) that has none, so that no book is lost [C06]."""
-    empty = books.join(chapters_.select("book_id"), "book_id", "left_anti")
-    rows = empty.select("book_id", F.lit(0).alias("chapter_no"), F.coalesce("title", F.lit("")).alias("title"), F.lit(0).cast("long").alias("weight"), F.lit(0).cast("long").alias("n_elements"))
-    return chapters_.unionByName(rows, allowMissingColumns=True)
+#: What a book without any text says; fixed value.
+NO_TEXT = "(لم يُتعرف على نص)"
+
+
+def with_placeholders(elements: DataFrame, books: DataFrame) -> DataFrame:
+    """``elements`` and one paragraph in one chapter for each of the books (book_id) that has none, so that no book is lost [C06]."""
+    empty = books.select("book_id").join(elements.select("book_id"), "book_id", "left_anti")
+    rows = empty.select("book_id", F.lit(0).alias("chapter_no"), F.lit(0).alias("elem_no"), F.lit(0).alias("page_no"), F.lit("p").alias("kind"), F.lit(NO_TEXT).alias("text"), F.lit("").alias("note_id"), F.lit(False).alias("is_title"))
+    return elements.unionByName(rows.select(*elements.columns))
 
 
 def references(elements: DataFrame) -> DataFrame:

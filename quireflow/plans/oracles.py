@@ -196,4 +196,12 @@ ORACLES: dict[str, str] = {
  q AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS n, row_number() OVER w - 1 AS elem_no FROM x WINDOW w AS (PARTITION BY book_id, page_no ORDER BY line_no)),
  m AS (SELECT *, regexp_matches(concat_ws(' ', p, text, n), 'قال\s+تعالى|سورة\s+\S+') AND regexp_matches(text, '[«﴿][^«»﴾﴿]{{8,400}}[»﴾]') AS quoted, coalesce(n = 'سورة البقرة', false) AS named FROM q)
  SELECT book_id, page_no, CAST(elem_no AS INTEGER) AS elem_no, CASE WHEN named OR quoted THEN 'quran' ELSE 'p' END AS kind, CASE WHEN named THEN '﴿' || trim(regexp_replace(regexp_replace(trim(text), '[«»]', ' ', 'g'), '\s+', ' ', 'g')) || '﴾' WHEN quoted THEN regexp_replace(text, '[«﴿][ *]*([^«»﴾﴿]*?)[ *]*[»﴾]', '﴿\1﴾', 'g') ELSE text END AS text FROM m""",
+    "pdf_text_lines": """WITH s AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents WHERE doc_id % 10 <> 9),
+ x AS (SELECT doc_id, unnest(ls) AS t, unnest(range(0, len(ls))) AS i FROM s)
+ SELECT CAST(doc_id AS VARCHAR) AS book_id, 0 AS page_no, CAST(i AS INTEGER) AS line_no, trim(t) AS text, CAST(20 + 5 * (length(t) - length(ltrim(t))) AS INTEGER) AS x, CAST(5 * length(trim(t)) AS INTEGER) AS w, CAST(10 AS DOUBLE) AS size, CAST(0 AS DOUBLE) AS bold FROM x""",
+    "pdf_file_table": """WITH s AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x)) AS ls, doc_id % 10 = 9 AS broken FROM documents)
+ SELECT CAST(doc_id AS VARCHAR) AS book_id, CASE WHEN NOT broken THEN 1 END AS n_pages, CASE WHEN NOT broken THEN 'document ' || doc_id END AS title, CAST(0 AS BIGINT) AS degraded, CASE WHEN broken THEN 'malformed' END AS error, CASE WHEN NOT broken THEN CAST(length(array_to_string(ls, chr(10))) AS INTEGER) END AS n_chars, CASE WHEN NOT broken THEN CAST(14 * len(ls) + 40 AS INTEGER) END AS page_h FROM s""",
+    "image_measures": f"""WITH p AS ({_PAGES}), s AS (SELECT book_id, page_no, list_transform(string_split(text, chr(10)), lambda x: least(120, length(x))) AS n FROM p), z AS (SELECT *, 12 * len(n) + 24 AS height, page_no % 11 = 10 AS dark, list_max(n) > 0 AS inked, 5 * list_sum(n) / (160.0 * (12 * len(n) + 24)) AS share FROM s),
+ f AS (SELECT *, least(120 / 160, 100 / height) AS factor FROM z)
+ SELECT book_id, page_no, 160 AS width, CAST(height AS INTEGER) AS height, CASE WHEN dark THEN 7 ELSE 30 END AS level, CAST(0 AS DOUBLE) AS skew, 5 AS line_height, dark OR share > 0.45 AS picture, CAST(floor(160 * factor) AS INTEGER) AS fit_w, CAST(floor(height * factor) AS INTEGER) AS fit_h FROM f""",
 }

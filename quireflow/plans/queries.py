@@ -9,16 +9,20 @@ number; *arabized* ones have the letters a-z mapped to Arabic ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireflow import params as P
 from quireflow.errors import page_indices
+from quireflow.functions import rasters
 from quireflow.functions import text as T
 from quireflow.operators import chapters as C
 from quireflow.operators import gate as G
+from quireflow.operators import images
 from quireflow.operators import lines as L
 from quireflow.operators import markdown as M
 from quireflow.operators import merge as B
@@ -28,7 +32,7 @@ from quireflow.operators import report as A
 from quireflow.operators import structure as S
 from quireflow.plans import books
 from quireflow.sinks import epub, files
-from quireflow.sources import readers
+from quireflow.sources import pdf, readers
 from quireflow.stages import stage
 
 _A, _B = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
@@ -503,6 +507,53 @@ def giant_titles(spark: SparkSession, d: str) -> DataFrame:
     return C.with_split_giants(stage(elements), heads, 40_000, 25_000)[1]
 
 
+def _pdf_files(spark: SparkSession, d: str) -> DataFrame:
+    """A one-page PDF of every document: its lines at 10 points, 14 apart."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
+    height = F.size(lines) * 14 + 40
+
+    def shown(line: Column, i: Column) -> Column:
+        return F.concat(F.lit("BT /F1 10 Tf 1 0 0 1 20 "), height - 20 - i * 14, F.lit(" Tm <"), F.hex(F.encode(line, "UTF-16BE")), F.lit("> Tj ET"))
+
+    head = "%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n3 0 obj\n<< /Type /Font /Subtype /Type0 /BaseFont /Plain /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 5 0 R >>\nendobj\n4 0 obj\n<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Plain /DW 500 >>\nendobj\n5 0 obj\n<< >>\nstream\n1 beginbfrange\n<0020> <024F> <0020>\nendbfrange\nendstream\nendobj\n"
+    page = F.concat(F.lit("2 0 obj\n<< /Type /Pages /Count 1 /Kids [6 0 R] /MediaBox [0 0 612 "), height, F.lit("] >>\nendobj\n6 0 obj\n<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents 7 0 R >>\nendobj\n7 0 obj\n<< >>\nstream\n"), F.array_join(F.transform(lines, shown), "\n"), F.lit("\nendstream\nendobj\n8 0 obj\n<< /Title (document "), "doc_id", F.lit(") >>\nendobj\ntrailer\n<< /Root 1 0 R /Info 8 0 R >>\n%%EOF\n"))
+    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.when(F.col("doc_id") % 10 == 9, F.encode(F.lit("no PDF"), "UTF-8")).otherwise(F.encode(F.concat(F.lit(head), page), "UTF-8")).alias("content"))
+
+
+def pdf_text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of PDF text layers"""
+    return pdf.pdf_lines(pdf.pdf_pages(_pdf_files(spark, d))).select("book_id", "page_no", "line_no", "text", "x", "w", "size", "bold")
+
+
+def pdf_file_table(spark: SparkSession, d: str) -> DataFrame:
+    """A row a file, every tenth of them broken"""
+    pages = pdf.pdf_pages(_pdf_files(spark, d))
+    texts = pages.groupBy("book_id").agg(F.max(F.char_length("raw_text")).alias("n_chars"), F.max("page_h").alias("page_h"))
+    return pdf.pdf_books(pages).join(texts, "book_id").select("book_id", "n_pages", "title", "degraded", "error", "n_chars", "page_h")
+
+
+def _drawn(spark: SparkSession, d: str) -> DataFrame:
+    """A page image of every document: a bar a line, as long as the line; every eleventh page is dark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for page_no, sizes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                page = np.full((12 * len(sizes) + 24, 160), 250, np.uint8)
+                for i, n in enumerate(sizes):
+                    page[12 * i + 12 : 12 * i + 17, 20 : 20 + min(120, n)] = 30
+                made.append(rasters.png(page // 4 if page_no % 11 == 10 else page))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["book_id", "page_no", "content"])
+
+    sizes = F.transform(F.split("text", "\n", -1), F.char_length)
+    return _pages(spark, d).select("book_id", "page_no", sizes.alias("sizes")).mapInArrow(run, "book_id string, page_no int, content binary")
+
+
+def image_measures(spark: SparkSession, d: str) -> DataFrame:
+    """I01, I04-I06, I08, I15, F14, W19, W20"""
+    return images.measured(_drawn(spark, d), 120, 100).select("book_id", "page_no", "width", "height", "level", "skew", "line_height", "picture", "fit_w", "fit_h")
+
+
 def device_pages(spark: SparkSession, d: str) -> DataFrame:
     """S21"""
     keys = F.array(*(F.lit(x[0]) for x in P.DEVICES))
@@ -551,6 +602,6 @@ QUERIES: dict[str, Q] = {
         page_routes, route_counts, layer_reasons, run_summary, rescue_candidates, inspected_books, stage_anti, modal_size, paragraph_segments, heading_tiers, list_islands, verse_islands, footnote_split, footnote_refs,
         context_window, boundary_merge, html_elements, markdown_emit, markdown_parse, markdown_roundtrip, front_matter, chapters_by_heading, chapters_every_n, volume_chunks, giant_split, footnote_relocate, references,
         note_numbers, manifest_integrity, missing_scans, covers, toc_pages, ocr_lines, ocr_confidence, hemistichs, reading_order, boxed_chars, scalar_texts, joined_lines, device_pages, structured_books,
-        structured_report, epub_bytes, book_json, selected_pages, degraded_pages, console_report, recognised_pages, archived_pages, giant_titles,
+        structured_report, epub_bytes, book_json, selected_pages, degraded_pages, console_report, recognised_pages, archived_pages, giant_titles, pdf_text_lines, pdf_file_table, image_measures,
     )
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quireflow import cli
 from quireflow.errors import OptionError
 from quireflow.operators import chapters as C
+from quireflow.operators import notes as N
 from quireflow.plans import books
 from quireflow.sources import readers
 from quireflow.stages import WorkFolder
@@ -52,8 +53,10 @@ def test_giant_chapters_get_numbered_titles(spark):
     assert [t for b, _, t, _ in got if b == "b"] == ["big", "big (2)", "big (3)", "small"] and got[-1] == ("c", 0, "one element", 5000)
     assert sum(w for b, *_, w in got if b == "b") == 1001 and new.count() == len(rows)
     assert new.where("book_id = 'b' and chapter_no = 1 and elem_no = 0").count() == 1
-    more = spark.createDataFrame([("b", "B"), ("empty", "E")], "book_id string, title string")
-    assert [(r.title, r.n_elements) for r in C.with_placeholders(chapters, more).where("book_id = 'empty'").collect()] == [("E", 0)]
+    docs = spark.createDataFrame([("b", "# A\ntext"), ("empty", "<!-- page:0 -->")], "book_id string, markdown string")
+    rows, heads = books.markdown_volumes(docs)
+    assert [(r.chapter_no, r.text) for r in rows.where("book_id = 'empty'").collect()] == [(0, C.NO_TEXT)]
+    assert [(r.title, r.volume_no) for r in heads.where("book_id = 'empty'").collect()] == [("فصل 1", 0)]
 
 
 def test_own_drop_rule(spark):
@@ -85,3 +88,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.epub", "c.epub"]
     opf = zipfile.ZipFile(tmp_path / "out" / "c.epub").read("OEBPS/content.opf").decode()
     assert "<dc:title>Three</dc:title>" in opf and "<dc:language>en" in opf
+
+
+def test_too_many_notes_are_an_error(spark):
+    lines = [("b", 0, 0, "body text", 100, 12, 12.0)] + [("b", 0, i, f"({i % 900}) note", 700 + i, 8, 8.0) for i in range(1, 203)]
+    df = spark.createDataFrame(lines, "book_id string, page_no int, line_no int, text string, y int, h int, size double").withColumns({"page_h": F.lit(792), "body_size": F.lit(12.0)})
+    assert N.split_notes(df.where("line_no < 201"))[1].count() == 200
+    with pytest.raises(Exception, match="limit: over 200 notes on page 1"):
+        N.split_notes(df)[1].collect()
