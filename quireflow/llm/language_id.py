@@ -1,18 +1,23 @@
-"""Language ID by partial matching (PPM): frozen byte context trees, exact code lengths.
+"""Language ID by partial matching (PPM): frozen byte context trees of variable order, exact code lengths.
 
-Every language has a context tree over folded bytes (A-Z as a-z) of depth
-``order`` = 3. A context predicts the bytes seen in it with n / (total +
-distinct) and escapes to the next shorter one with distinct / (total +
-distinct); below the empty context all 256 bytes are equally likely. The code
-length of a text is the sum over all its bytes; the shortest wins, and the score
-is its posterior probability under equal priors.
+Every language has a context tree over folded bytes (A-Z as a-z), up to
+``order`` bytes deep, and deeper than two only where a context was seen often
+enough. A context predicts the bytes seen in it with n / (total + distinct) and
+escapes to the next shorter one with distinct / (total + distinct); below the
+empty context all 256 bytes are equally likely, and a context that a language
+never saw escapes at no cost. The code length of a text is the sum over all its
+bytes; the shortest wins, and the score is its posterior probability under
+equal priors.
 
 The statistics come from a bounded sample: ``per_lang`` documents of every
 language, those with the smallest hashes. Whole texts are learned and scored.
+The trees are sparse: what is stored are the contexts and bytes that a language
+saw, so that memory follows the sample and not its alphabet.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,109 +30,144 @@ from quireflow.llm import shingles as S
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-#: The three bytes taken to stand before a text.
+#: The byte taken to stand before a text, as often as the order asks.
 _START = 10
+#: Bytes of text times languages that are scored at once.
+_SCORED = 1 << 21
 
 
 @dataclass(frozen=True)
 class Partial:
-    """``per_lang`` documents a language are learned; contexts of three bytes seen fewer than ``least`` times are pruned."""
+    """``per_lang`` documents a language are learned, contexts up to ``order`` bytes; those of three or more bytes that all languages together saw fewer than ``least`` times are pruned.
+
+    ``most`` bounds the distinct (language, context, byte) counts, which the
+    driver gathers and sends to every worker; a larger sample is an error.
+    """
 
     per_lang: int = 600
+    order: int = 4
     least: int = 4
+    most: int = 20_000_000
 
 
-def _contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The three bytes before every byte, nearest last; texts begin after three line feeds."""
-    out = []
-    sizes = np.diff(offsets)
-    begin = np.repeat(offsets[:-1], sizes)
-    local = np.arange(len(data)) - begin
-    for back in (3, 2, 1):
-        c = np.full(len(data), _START, np.uint8)
+def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """Every byte with the ``order`` bytes before it in its text, the byte itself lowest."""
+    local = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = data.astype(np.int64)
+    for back in range(1, order + 1):
+        c = np.full(len(data), _START, np.int64)
         c[back:] = data[:-back] if len(data) > back else data[:0]
         c[local < back] = _START
-        out.append(c)
-    return out[0], out[1], out[2]
+        out |= c << (8 * back)
+    return out
 
 
 def learn(docs: DataFrame, p: Partial) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Languages, and language, packed four bytes and count of what the sample holds; at most the sample's bytes."""
+    """Languages, and language, gram and count of what the sample holds."""
     known = docs.where("lang is not null and text is not null and text <> ''").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     # a hash threshold lets through about twice what is wanted of every language, so that the ranking sees no more at any size
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     rates = {r.lang: 2.0 * p.per_lang / r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.n > 2 * p.per_lang}
     rate = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), F.col("lang")), F.lit(1.0)) if rates else F.lit(1.0)
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    sample = known.select("doc_id", "lang", "text", place.alias("place")).where(F.col("place") < rate).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= p.per_lang)
+    rank = Window.partitionBy("lang").orderBy("place", "doc_id")
+    sample = known.select("doc_id", "lang", "text", place.alias("place")).where(F.col("place") < rate).withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= p.per_lang)
+    order = p.order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for i, j, data, offsets in S.chunks(batch.column(1)):
-                data = _FOLD[data]
-                a, b, c = _contexts(data, offsets)
-                quad = (a.astype(np.int64) << 24) | (b.astype(np.int64) << 16) | (c.astype(np.int64) << 8) | data
+                gram = grams(_FOLD[data], offsets, order)
                 for k in range(i, j):
-                    v, n = np.unique(quad[offsets[k - i] : offsets[k - i + 1]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([langs[k]] * len(v), pa.string()), pa.array(v), pa.array(n)], names=["lang", "quad", "n"])
-
-    counts = sample.select("lang", "text").mapInArrow(run, "lang string, quad long, n long").groupBy("lang", "quad").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(counts.column("lang").to_pylist()))
+                    v, n = np.unique(gram[offsets[k - i] : offsets[k - i + 1]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[k]] * len(v), pa.string()), pa.array(v), pa.array(n)], names=["lang", "gram", "n"])
+
+    counts = sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = counts.limit(p.most + 1).toArrow()
+    if counts.num_rows > p.most:
+        raise ValueError(f"the sample has over {p.most} distinct counts; learn from fewer documents a language")
+    langs = sorted(set(counts.column("lang").unique().to_pylist()))
     number = {x: i for i, x in enumerate(langs)}
-    lang = np.array([number[x] for x in counts.column("lang").to_pylist()], dtype=np.int64)
-    return langs, lang, counts.column("quad").to_numpy(), counts.column("n").to_numpy()
+    coded = counts.column("lang").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names = np.array([number[x] for x in coded.dictionary.to_pylist()], dtype=np.int64)
+    lang = names[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    return langs, lang, counts.column("gram").to_numpy(), counts.column("n").to_numpy()
+
+
+@dataclass
+class Rows:
+    """Ascending keys, and per key the languages that have it, each with a number of bits."""
+
+    keys: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, lang: np.ndarray, bits: np.ndarray) -> Rows:
+        keys, begin = np.unique(key, return_index=True)
+        return cls(keys, np.append(begin, len(key)), lang.astype(np.int32), bits.astype(np.float32))
+
+    def at(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index into ``wanted``, language and bits of all that is known of the keys."""
+        place = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
+        hit = np.flatnonzero(self.keys[place] == wanted) if len(self.keys) else np.zeros(0, np.int64)
+        low, many = self.begin[place[hit]], self.begin[place[hit] + 1] - self.begin[place[hit]]
+        rows = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(hit, many), self.lang[rows], self.bits[rows]
 
 
 class Trees:
-    """Bits of every byte after every context, for all languages side by side."""
-
-    def __init__(self, n_langs: int, lang: np.ndarray, quad: np.ndarray, n: np.ndarray, least: int):
-        parts = [(quad >> shift) & 255 for shift in (24, 16, 8, 0)]
-        seen = np.unique(np.concatenate([*parts, [_START]]))
-        self.symbol = np.zeros(256, np.int64)  # 0: a byte never learned
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        size = self.size = len(seen) + 1
-        a, b, c, s = (self.symbol[x] for x in parts)
-        deep = (a * size + b) * size + c
-        total = np.bincount(deep, weights=n, minlength=size**3)
-        self.row = np.full(size**3, -1, np.int64)
-        kept = np.flatnonzero(total >= least)
-        self.row[kept] = np.arange(len(kept))
-        flat = np.flatnonzero(self.row < 0)
-        self.row[flat] = len(kept) + flat % (size * size)
-        self.bits = np.empty((len(kept) + size * size, size, n_langs), np.float32)
-        for k in range(n_langs):
-            mine = lang == k
-            p = np.full(size, 1 / 256)
-            for context, width in ((np.zeros(mine.sum(), np.int64), 1), (c[mine], size), ((b * size + c)[mine], size * size)):
-                count = np.bincount(context * size + s[mine], weights=n[mine], minlength=width * size).reshape(width, size)
-                shorter = p if width == 1 else np.tile(p.reshape(-1, size), (width // max(1, len(p.reshape(-1, size))), 1))
-                p = self._blend(count, shorter.reshape(-1, size))
-            at = self.row[deep[mine]]
-            inside = total[deep[mine]] >= least
-            count = np.bincount(at[inside] * size + s[mine][inside], weights=n[mine][inside], minlength=len(kept) * size)[: len(kept) * size].reshape(len(kept), size)
-            self.bits[: len(kept), :, k] = -np.log2(self._blend(count, p[kept % (size * size)]))
-            self.bits[len(kept) :, :, k] = -np.log2(p)
-        self.bits = self.bits.reshape(-1, n_langs)
-
-    @staticmethod
-    def _blend(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-        below = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-        return np.where(count > 0, count / np.maximum(total + distinct, 1), below * shorter)
+    """The context trees of all languages: per order, bits of the bytes seen after a context and of its escape."""
+
+    def __init__(self, n_langs: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, least: int):
+        self.n_langs, self.order = n_langs, order
+        self.seen: list[Rows] = []
+        self.escape: list[Rows] = []
+        for k in range(order + 1):
+            key = gram & ((1 << (8 * (k + 1))) - 1)
+            place = np.lexsort((lang, key))
+            key_, lang_, n_ = key[place], lang[place], n[place]
+            new = np.append(True, (key_[1:] != key_[:-1]) | (lang_[1:] != lang_[:-1])) if len(key_) else np.zeros(0, bool)
+            starts = np.flatnonzero(new)
+            key_, lang_ = key_[starts], lang_[starts]
+            n_ = np.add.reduceat(n_, starts) if len(starts) else n_
+            context = key_ >> 8
+            if k > 2 and len(context):  # keys of a context stand together
+                first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+                often = np.repeat(np.add.reduceat(n_, first) >= least, np.diff(np.append(first, len(context))))
+                key_, lang_, n_, context = key_[often], lang_[often], n_[often], context[often]
+            place = np.lexsort((lang_, context))
+            both = np.append(True, (context[place][1:] != context[place][:-1]) | (lang_[place][1:] != lang_[place][:-1])) if len(place) else np.zeros(0, bool)
+            first = np.flatnonzero(both)
+            total = np.add.reduceat(n_[place], first).astype(np.float64) if len(first) else np.zeros(0)
+            distinct = np.diff(np.append(first, len(place))).astype(np.float64)
+            whole = np.zeros(len(place))
+            whole[place] = np.repeat(total + distinct, np.diff(np.append(first, len(place)))) if len(first) else whole
+            self.seen.append(Rows.of(key_, lang_, np.log2(whole) - np.log2(n_)))
+            self.escape.append(Rows.of(context[place][first], lang_[place][first], np.log2(total + distinct) - np.log2(distinct)))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """The code length of the byte of every gram in its context, a column for every language."""
+        out = np.full((len(gram), self.n_langs), 8.0, np.float32)
+        for k in range(self.order + 1):
+            i, lang, cost = self.escape[k].at((gram >> 8) & ((1 << (8 * k)) - 1))
+            out[i, lang] += cost
+            i, lang, cost = self.seen[k].at(gram & ((1 << (8 * (k + 1))) - 1))
+            out[i, lang] = cost
+        return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code lengths in bits, a row for every text and a column for every language."""
-        out = np.zeros((len(offsets) - 1, self.bits.shape[1]))
+        out = np.zeros((len(offsets) - 1, self.n_langs))
         if not len(data):
             return out
-        data = _FOLD[data]
-        a, b, c = (self.symbol[x] for x in _contexts(data, offsets))
-        row = self.row[(a * self.size + b) * self.size + c]
-        bits = self.bits[row * self.size + self.symbol[data]]
+        distinct, inverse = np.unique(grams(_FOLD[data], offsets, self.order), return_inverse=True)
+        bits = self.bits(distinct)
         some = np.flatnonzero(np.diff(offsets))
-        out[some] = np.add.reduceat(bits, offsets[some], axis=0, dtype=np.float64)
+        for k in range(self.n_langs):
+            out[some, k] = np.add.reduceat(bits[:, k][inverse], offsets[some], dtype=np.float64)
         return out
 
 
@@ -152,16 +192,17 @@ def language_id(docs: DataFrame, p: Partial = Partial()) -> DataFrame:
     give the first language by name. Repeated rows count in the sample each;
     an empty table gives an empty result.
     """
-    langs, lang, quad, n = learn(docs, p)
-    counts = (len(langs), lang, quad, n, p.least)
-    key = bytes(f"{hash((lang.tobytes(), quad.tobytes(), n.tobytes(), p.least))}", "ascii")
+    langs, lang, gram, n = learn(docs, p)
+    key = hashlib.sha256(b"".join((lang.tobytes(), gram.tobytes(), n.tobytes(), repr(p).encode()))).digest()
+    sent = docs.sparkSession.sparkContext.broadcast((len(langs), lang, gram, n, p.order, p.least))
+    size = max(1 << 14, _SCORED // max(1, len(langs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = trees_of(key, *counts) if langs else None
+        trees = trees_of(key, *sent.value) if langs else None
         names = np.array([*langs, "und"], dtype=object)
         for batch in batches:
             letters = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, data, offsets in S.chunks(batch.column(2), 1 << 19):
+            for i, j, data, offsets in S.chunks(batch.column(2), size):
                 best, score, bits = np.full(j - i, len(langs)), np.zeros(j - i), np.zeros(j - i)
                 if trees is not None:
                     length = trees.lengths(data, offsets)

@@ -460,24 +460,22 @@ def test_code_lengths_against_brute_force():
     """The trees' code lengths equal those of dictionaries of counts: escape to the next shorter context with distinct / (total + distinct)."""
     rng = random.Random(17)
     learned = {"x": ["".join(rng.choice("abcd ") for _ in range(200)), "abab"], "y": ["".join(rng.choice("cdef ") for _ in range(150))]}
-    least = 3
-    rows, contexts, depth3 = Counter(), defaultdict(lambda: defaultdict(Counter)), Counter()
+    least, depth = 3, 4
+    rows, contexts, together = Counter(), defaultdict(lambda: defaultdict(Counter)), Counter()
     for lang, texts in learned.items():
         for t in texts:
-            raw = b"\n\n\n" + t.encode()
-            for i in range(3, len(raw)):
-                rows[lang, int.from_bytes(raw[i - 3 : i + 1], "big")] += 1
-                depth3[raw[i - 3 : i]] += 1
-                for order in range(4):
+            raw = b"\n" * depth + t.encode()
+            for i in range(depth, len(raw)):
+                rows[lang, int.from_bytes(raw[i - depth : i + 1], "big")] += 1
+                for order in range(depth + 1):
+                    together[raw[i - order : i]] += 1
                     contexts[lang][raw[i - order : i]][raw[i]] += 1
 
     def bits(lang, context, symbol):
-        if len(context) == 3 and depth3[context] < least:
-            context = context[1:]
         p = 1.0
         while True:
             n = contexts[lang].get(context)
-            if n:
+            if n and (len(context) < 3 or together[context] >= least):
                 total, distinct = sum(n.values()), len(n)
                 if n[symbol]:
                     return -np.log2(p * n[symbol] / (total + distinct))
@@ -488,13 +486,13 @@ def test_code_lengths_against_brute_force():
 
     langs = sorted(learned)
     keys = sorted(rows)
-    trees = Trees(2, np.array([langs.index(k[0]) for k in keys]), np.array([k[1] for k in keys]), np.array([rows[k] for k in keys]), least)
+    trees = Trees(2, np.array([langs.index(k[0]) for k in keys]), np.array([k[1] for k in keys]), np.array([rows[k] for k in keys]), depth, least)
     texts = ["abcd", "zzz a", "", "fed cab " * 9, "\u00e9"]
     raw = [t.encode() for t in texts]
     got = trees.lengths(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     for t, mine in zip(raw, got):
-        padded = b"\n\n\n" + t
-        expect = [sum(bits(lang, padded[i - 3 : i], padded[i]) for i in range(3, len(padded))) for lang in langs]
+        padded = b"\n" * depth + t
+        expect = [sum(bits(lang, padded[i - depth : i], padded[i]) for i in range(depth, len(padded))) for lang in langs]
         assert mine == pytest.approx(expect, rel=1e-4)
 
 
