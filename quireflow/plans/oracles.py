@@ -195,7 +195,7 @@ ORACLES: dict[str, str] = {
  SELECT book_id, page_no, line_no * 2 + 1, CASE WHEN line_no % 5 = 0 THEN 'قال تعالى' ELSE 'سورة البقرة' END FROM l WHERE trim(text) <> '' AND line_no % 5 IN (0, 3)),
  q AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS n, row_number() OVER w - 1 AS elem_no FROM x WINDOW w AS (PARTITION BY book_id, page_no ORDER BY line_no)),
  m AS (SELECT *, regexp_matches(concat_ws(' ', p, text, n), 'قال\s+تعالى|سورة\s+\S+') AND regexp_matches(text, '[«﴿][^«»﴾﴿]{{8,400}}[»﴾]') AS quoted, coalesce(n = 'سورة البقرة', false) AS named FROM q)
- SELECT book_id, page_no, CAST(elem_no AS INTEGER) AS elem_no, CASE WHEN named OR quoted THEN 'quran' ELSE 'p' END AS kind, CASE WHEN named THEN '﴿' || trim(regexp_replace(regexp_replace(trim(text), '[«»]', ' ', 'g'), '\s+', ' ', 'g')) || '﴾' WHEN quoted THEN regexp_replace(text, '[«﴿][ *]*([^«»﴾﴿]*?)[ *]*[»﴾]', '﴿\1﴾', 'g') ELSE text END AS text FROM m""",
+ SELECT book_id, page_no, CAST(elem_no AS INTEGER) AS elem_no, CASE WHEN named OR quoted THEN 'quran' ELSE 'p' END AS kind, CASE WHEN named THEN '﴿' || trim(regexp_replace(regexp_replace(trim(regexp_replace(trim(text), '^[«»*]+|[«»*]+$', '', 'g')), '[«»]', ' ', 'g'), '\s+', ' ', 'g')) || '﴾' WHEN quoted THEN regexp_replace(text, '[«﴿][ *]*([^«»﴾﴿]*?)[ *]*[»﴾]', '﴿\1﴾', 'g') ELSE text END AS text FROM m""",
     "pdf_text_lines": """WITH s AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents WHERE doc_id % 10 <> 9),
  x AS (SELECT doc_id, unnest(ls) AS t, unnest(range(0, len(ls))) AS i FROM s)
  SELECT CAST(doc_id AS VARCHAR) AS book_id, 0 AS page_no, CAST(i AS INTEGER) AS line_no, trim(t) AS text, CAST(20 + 5 * (length(t) - length(ltrim(t))) AS INTEGER) AS x, CAST(5 * length(trim(t)) AS INTEGER) AS w, CAST(10 AS DOUBLE) AS size, CAST(0 AS DOUBLE) AS bold FROM x""",
