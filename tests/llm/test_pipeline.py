@@ -72,6 +72,24 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert sorted(map(str, again)) == sorted(map(str, states["best_fit_packing"]))
 
 
+def test_stages_keep_other_columns_and_empty_tables(spark, tmp_path):
+    """Extra columns under the names that stages use inside come through unchanged; an empty table goes through all stages."""
+    rows, boiler, passage = fixture_docs()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, kept_text string, n_dropped int, sp_from int, row string, words string, stratum string"
+    more = [(*r, 7, "k", 8, 9, "r", "w", "x") for r in rows] + [(None, None, None, None, None, 7, "k", 8, 9, "r", "w", "x")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, data in (("full", more), ("empty", [])):
+        docs = spark.createDataFrame(data, schema)
+        for stage, work in corpus_pipeline.STAGES[:-1]:
+            work(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}-{stage}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+            assert docs.where("not (n_lines = 7 and kept_text = 'k' and n_dropped = 8 and sp_from = 9 and row = 'r' and words = 'w' and stratum = 'x')").isEmpty()
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert (last.count() > 0) == bool(data)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, tmp_path, name):
     QUERIES[name](spark, SF).write.parquet(f"{tmp_path}/out")
