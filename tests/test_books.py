@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quireflow.errors import InvalidBookError, MissingLibraryError
 from quireflow.operators import chapters as C
 from quireflow.operators import gate as G
+from quireflow.operators import lines as L
 from quireflow.operators import markdown as M
 from quireflow.operators import merge, repeated, report
 from quireflow.plans import books
@@ -173,3 +174,20 @@ def test_readers_stages_and_stream(spark, tmp_path):
     for _ in range(2):
         process_available(markdown_stream(spark, str(tmp_path / "in")), M.parse_books, out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_page_numbers(spark, monkeypatch, few):
+    """By window or by range, ranks are those of sorting each book."""
+    monkeypatch.setattr(L, "FEW_PAGES", few)
+    rng = random.Random(3)
+    rows = [("big", x) for x in rng.sample(range(10**6), 700)] + [("b", 5), ("b", -1), ("b", None), (None, 3), (None, 1), ("one", 9)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(s, i, f"t{i}\nu") for s, i in rows], "source string, doc_id long, text string")
+    expect = {}
+    for s, i in sorted(rows, key=lambda r: (str(r[0]), -(10**9) if r[1] is None else r[1])):
+        expect[s, i] = sum(1 for a, _ in expect if a == s)
+    assert {(r.book_id, r.at): r.page_no for r in L.page_numbers(df).collect()} == expect
+    pages = L.document_pages(df).collect()
+    assert {(r.book_id, r.doc_id): (r.page_no, r.text) for r in pages} == {k: (n, f"t{k[1]}\nu") for k, n in expect.items()} and len(pages) == len(rows)
+    assert L.document_lines(df).count() == 2 * len(rows) and L.page_numbers(df.limit(0)).count() == 0
