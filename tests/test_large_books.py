@@ -36,3 +36,7 @@ def compared(spark, folder, out, name, wide=False):
 def test_giant_split_beyond_int(spark, large, tmp_path):
     kinds, db = compared(spark, large, tmp_path, "giant_split", wide=True)
     assert kinds["elem_no"] == "bigint" and db.execute("SELECT max(elem_no) > 2147483647, max(part_no) > 0 FROM o").fetchone() == (True, True)
+
+
+def test_giant_titles_beyond_int(spark, large, tmp_path):
+    compared(spark, large, tmp_path, "giant_titles", wide=True)
