@@ -33,6 +33,11 @@ def compared(spark, folder, out, name, wide=False):
     return dict(df.dtypes), db
 
 
+@pytest.mark.parametrize("name", ["footnote_split"])
+def test_page_numbers_of_five_digits_are_no_notes(spark, large, tmp_path, name):
+    compared(spark, large, tmp_path, name)
+
+
 def test_giant_split_beyond_int(spark, large, tmp_path):
     kinds, db = compared(spark, large, tmp_path, "giant_split", wide=True)
     assert kinds["elem_no"] == "bigint" and db.execute("SELECT max(elem_no) > 2147483647, max(part_no) > 0 FROM o").fetchone() == (True, True)
