@@ -33,7 +33,7 @@ def compared(spark, folder, out, name, wide=False):
     return dict(df.dtypes), db
 
 
-@pytest.mark.parametrize("name", ["footnote_split"])
+@pytest.mark.parametrize("name", ["footnote_split", "footnote_refs"])
 def test_page_numbers_of_five_digits_are_no_notes(spark, large, tmp_path, name):
     compared(spark, large, tmp_path, name)
 
