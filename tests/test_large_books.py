@@ -10,7 +10,7 @@ from quireflow import params as P
 from quireflow.functions import text as T
 from quireflow.operators.repeated import alike, merged_keys
 from quireflow.plans.oracles import ORACLES
-from quireflow.plans.queries import QUERIES
+from quireflow.plans.queries import QUERIES, _noted
 from quireflow.sources import pdf
 
 PAGES = 21_600
@@ -45,6 +45,20 @@ def test_page_numbers_of_five_digits_are_no_notes(spark, large, tmp_path, name):
     compared(spark, large, tmp_path, name)
 
 
+def test_notes_of_null_books_and_pages_with_lines_like_the_citing_one(spark, tmp_path):
+    texts = ["NULL", "''", "'a' || chr(10) || 'as said before' || chr(10) || '(as said'", "'(1) x' || chr(10) || '2- y'", "'12' || chr(10) || '- 5 -'"]
+    made = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts))
+    duckdb.execute(f"COPY (SELECT i AS doc_id, CASE i % 5 {made} END AS text, 'en' AS lang, CASE WHEN i % 3 > 0 THEN 'b' || i % 3 END AS source, 10::BIGINT AS n_chars FROM range(60) t(i)) TO '{tmp_path}/documents.parquet'")
+    kinds, db = compared(spark, str(tmp_path), tmp_path, "footnote_refs")
+    assert db.execute("SELECT count(*) FROM o WHERE book_id IS NULL AND text LIKE '%[^p%'").fetchone()[0] == 10
+
+
+def test_pages_with_notes_are_split_once(spark, large):
+    plan = _noted(spark, large)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate posexplode")
+    assert "split(" not in above and below.count("split(") == 1
+
+
 def test_giant_split_beyond_int(spark, large, tmp_path):
     kinds, db = compared(spark, large, tmp_path, "giant_split", wide=True)
     assert kinds["elem_no"] == "bigint" and db.execute("SELECT max(elem_no) > 2147483647, max(part_no) > 0 FROM o").fetchone() == (True, True)
